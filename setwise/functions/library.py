@@ -28,6 +28,7 @@ from .values import (
     defined,
     deref,
     equal,
+    is_finite,
     local,
     num,
     shape,
@@ -69,24 +70,25 @@ def finite(c: Column) -> Column:
 # --- infix and unary -----------------------------------------------------------------------
 
 
-def _arith(op: Callable[[Column, Column], Column]) -> Callable[[Val, Val], Val]:
+def _arith(op: Callable[[Column, Column], Column], plain: Callable[[Column, Column], Column]) -> Callable[[Val, Val], Val]:
     def f(a: Val, b: Val) -> Val:
-        x, y = as_num(a), as_num(b)
+        x, y = as_num(a, checked=False), as_num(b, checked=False)
         if a.integral and b.integral:  # beyond 64 bits: undefined
             return num(op(x, y), True)
-        return num(finite(op(x.cast("double"), y.cast("double"))))
+        # NaN and infinity spread through sums and products, so one check at the end is enough
+        return num(plain(x.cast("double"), y.cast("double")), dirty=True)
 
     return f
 
 
-add = register("std::infix::add", 2)(_arith(F.try_add))
-subtract = register("std::infix::subtract", 2)(_arith(F.try_subtract))
-multiply = register("std::infix::multiply", 2)(_arith(F.try_multiply))
+add = register("std::infix::add", 2)(_arith(F.try_add, lambda x, y: x + y))
+subtract = register("std::infix::subtract", 2)(_arith(F.try_subtract, lambda x, y: x - y))
+multiply = register("std::infix::multiply", 2)(_arith(F.try_multiply, lambda x, y: x * y))
 
 
 @register("std::infix::divide", 2)
 def divide(a: Val, b: Val) -> Val:
-    return num(finite(F.try_divide(as_num(a).cast("double"), as_num(b).cast("double"))))
+    return num(F.try_divide(as_num(a, checked=False).cast("double"), as_num(b).cast("double")), dirty=True)
 
 
 @register("std::infix::mod", 2)
@@ -98,14 +100,21 @@ def mod(a: Val, b: Val) -> Val:
 
 @register("std::infix::pow", 2)
 def power(a: Val, b: Val) -> Val:
-    return num(finite(F.pow(finite(as_num(a)), finite(as_num(b)))))
+    return num(F.pow(as_num(a).cast("double"), as_num(b).cast("double")), dirty=True)
 
 
 def _compare(op: Callable[[Column, Column], Column]) -> Callable[[Val, Val], Val]:
     def f(a: Val, b: Val) -> Val:
         if a.kind == b.kind == "date":
             return boolean(op(a.col, b.col))
-        return boolean(op(as_num(a), as_num(b)))
+        out = boolean(op(as_num(a), as_num(b)))
+        if a.dirty or b.dirty:  # as a filter: the bare comparison, which a scan can use, and the checks beside it
+            x, y = as_num(a, checked=False), as_num(b, checked=False)
+            out.sieve = op(x, y)
+            for v, c in ((a, x), (b, y)):
+                if v.dirty:
+                    out.sieve = out.sieve & is_finite(c)
+        return out
 
     return f
 
@@ -119,7 +128,9 @@ greater_equal = register("std::infix::gte", 2)(_compare(lambda x, y: x >= y))
 @register("std::infix::and", 2)
 def both(a: Val, b: Val) -> Val:
     x, y = as_bool(a), as_bool(b)
-    return boolean(F.when(x.isNotNull() & y.isNotNull(), x & y))
+    out = boolean(F.when(x.isNotNull() & y.isNotNull(), x & y))
+    out.sieve = (x if a.sieve is None else a.sieve) & (y if b.sieve is None else b.sieve)
+    return out
 
 
 @register("std::infix::or", 2)
@@ -148,7 +159,7 @@ def negate(a: Val) -> Val:
 
 @register("std::unary::neg", 1)
 def minus(a: Val) -> Val:
-    return num(F.try_multiply(as_num(a), F.lit(-1).cast("bigint")) if a.integral else -as_num(a), a.integral)
+    return num(F.try_multiply(as_num(a), F.lit(-1).cast("bigint")) if a.integral else -as_num(a, checked=False), a.integral, a.dirty)
 
 
 # --- mathematics ---------------------------------------------------------------------------
@@ -156,10 +167,10 @@ def minus(a: Val) -> Val:
 
 def _math1(name: str, f: Callable[[Column], Column], domain: Callable[[Column], Column] | None = None) -> None:
     def g(a: Val) -> Val:
-        x = finite(as_num(a))
+        x = as_num(a).cast("double")
         if domain:
             x = F.when(domain(x), x)
-        return num(finite(f(x)))
+        return num(f(x), dirty=True)
 
     register(f"std::math::{name}", 1)(g)
 
@@ -200,8 +211,8 @@ _math1("getExponent", lambda x: _exponent(x), lambda x: x > 0)
 
 def _math2(name: str, f: Callable[[Column, Column], Column], deprecated: bool = False) -> None:
     def g(a: Val, b: Val) -> Val:
-        x, y = finite(as_num(a)), finite(as_num(b))
-        return num(finite(F.when(x.isNotNull() & y.isNotNull(), f(x, y))))
+        x, y = as_num(a).cast("double"), as_num(b).cast("double")
+        return num(F.when(x.isNotNull() & y.isNotNull(), f(x, y)), dirty=True)
 
     register(f"std::math::{name}", 2, deprecated)(g)
 

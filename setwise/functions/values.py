@@ -36,14 +36,21 @@ class Val:
     inner: bool = False
     lit: object = None
     integral: bool = False
+    dirty: bool = False  # a double that may be NaN or infinite, which counts as undefined
+    row: bool = False  # a loaded row, which is there whatever its members
+    sieve: Column | None = None  # for a boolean: a form of it for filters, which scans can use
 
 
 def undefined() -> Val:
     return Val("undef", F.lit(None).cast("string"))
 
 
-def num(c: Column, integral: bool = False) -> Val:
-    return Val("num", c, integral=integral)
+def num(c: Column, integral: bool = False, dirty: bool = False) -> Val:
+    return Val("num", c, integral=integral, dirty=dirty)
+
+
+def is_finite(c: Column) -> Column:
+    return ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
 
 def text(c: Column) -> Val:
@@ -85,8 +92,7 @@ def of_column(c: Column, t: T.DataType) -> Val:
     if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return num(c.cast("bigint"), True)
     if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
-        v = c.cast("double") if isinstance(t, T.FloatType) else c
-        return num(v if isinstance(t, T.DecimalType) else F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v))
+        return num(c.cast("double") if isinstance(t, T.FloatType) else c, dirty=not isinstance(t, T.DecimalType))
     if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return date(c.cast("timestamp"))
     if isinstance(t, T.StructType):
@@ -106,14 +112,19 @@ def defined(v: Val) -> Column:
     """Is the value defined?"""
     if v.kind == "undef":
         return F.lit(False)
+    if v.row or v.lit is not None:
+        return F.lit(True)
+    if v.dirty:
+        return v.col.isNotNull() & is_finite(v.col)
     if v.kind in ("obj", "arr") and v.inner:
         out = F.lit(True)
         for m in [*v.fields.values(), *v.items]:
             out = out & defined(m)
         return out
-    if v.kind == "obj" and v.col is None:  # a loaded row: there if any member is
-        out = F.lit(not v.fields)
-        for m in v.fields.values():
+    if v.kind in ("obj", "arr") and v.col is None:  # a loaded row or a model: there if any member is
+        members = [*v.fields.values(), *v.items]
+        out = F.lit(not members)
+        for m in members:
             out = out | defined(m)
         return out
     return v.col.isNotNull()
@@ -197,9 +208,10 @@ def shape(v: Val) -> Column:
 _NUMBERS = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
 
-def as_num(v: Val) -> Column:
+def as_num(v: Val, checked: bool = True) -> Column:
+    """The number, or null; unchecked, a double may still be NaN or infinite."""
     if v.kind == "num":
-        return v.col
+        return F.when(is_finite(v.col), v.col) if checked and v.dirty else v.col
     if v.kind == "variant":
         return F.when(shape(v).isin(*_NUMBERS), F.try_variant_get(v.col, "$", "double"))
     return F.lit(None).cast("double")
@@ -270,7 +282,7 @@ def guard(v: Val, ok: Column) -> Val:
     """The value where ok, else undefined."""
     if v.kind in ("obj", "arr") and v.col is None:
         return Val(v.kind, fields={k: guard(m, ok) for k, m in v.fields.items()}, items=[guard(m, ok) for m in v.items], inner=v.inner, dtype=v.dtype)
-    return Val(v.kind, F.when(ok, v.col), fields={k: guard(m, ok) for k, m in v.fields.items()}, zone=v.zone, dtype=v.dtype, inner=v.inner, integral=v.integral)
+    return Val(v.kind, F.when(ok, v.col), fields={k: guard(m, ok) for k, m in v.fields.items()}, zone=v.zone, dtype=v.dtype, inner=v.inner, integral=v.integral, dirty=v.dirty)
 
 
 def index(v: Val, i: Val) -> Val:
@@ -320,7 +332,9 @@ def equal(a: Val, b: Val) -> Column:
     both = defined(a) & defined(b)
     if a.kind == "undef" or b.kind == "undef":
         return F.lit(None).cast("boolean")
-    if a.kind == b.kind and a.kind in ("num", "str", "bool", "date"):
+    if a.kind == b.kind == "num":
+        return as_num(a) == as_num(b)
+    if a.kind == b.kind and a.kind in ("str", "bool", "date"):
         return a.col == b.col
     if "variant" in (a.kind, b.kind) and {a.kind, b.kind} & {"num", "str", "bool"}:
         v, t = (a, b) if a.kind == "variant" else (b, a)
@@ -343,7 +357,7 @@ def same_kind(vals: list[Val]) -> tuple[str, list[Val]]:
     if len(kinds) == 1 and kinds <= {"num", "str", "bool", "date"}:
         k = next(iter(kinds))
         if k == "num" and not all(v.integral for v in vals if v.kind == "num"):
-            vals = [num(v.col.cast("double")) if v.kind == "num" else v for v in vals]
+            vals = [num(v.col.cast("double"), dirty=v.dirty) if v.kind == "num" else v for v in vals]
         return k, vals
     if kinds == {"obj"} and len({tuple(sorted(v.fields)) for v in vals if v.kind == "obj"}) == 1 and all(v.kind == "obj" for v in vals):
         return "obj", vals

@@ -24,12 +24,12 @@ class Reduction:
 
 
 def _number(v: Val) -> Column:
-    return V.as_num(v)
+    return V.as_num(v, checked=False)  # reduce() looks at defined rows only
 
 
 def _exact(v: Val) -> Column:
     """Whole numbers as decimals, whose sum doesn't overflow."""
-    return v.col.cast("decimal(20,0)") if v.kind == "num" and v.integral else V.as_num(v)
+    return v.col.cast("decimal(20,0)") if v.kind == "num" and v.integral else V.as_num(v, checked=False)
 
 
 def _geometric(c: Column) -> Column:

@@ -199,7 +199,7 @@ class Algebra:
 
         def walk(v: Val) -> Val:
             if v.kind in ("obj", "arr") and v.col is None:
-                return Val(v.kind, fields={k: walk(m) for k, m in v.fields.items()}, items=[walk(m) for m in v.items], inner=v.inner, dtype=v.dtype)
+                return Val(v.kind, fields={k: walk(m) for k, m in v.fields.items()}, items=[walk(m) for m in v.items], inner=v.inner, dtype=v.dtype, row=v.row)
             name = f"{tag}_{len(cols)}"
             if v.kind == "obj":
                 cols.append(v.col.alias(name))
@@ -209,7 +209,7 @@ class Algebra:
             if v.kind == "date":
                 zone = F.col(name + "z")
                 cols.append(v.zone.alias(name + "z"))
-            return Val(v.kind, F.col(name), zone=zone, dtype=v.dtype, integral=v.integral, lit=None)
+            return Val(v.kind, F.col(name), zone=zone, dtype=v.dtype, integral=v.integral, dirty=v.dirty)
 
         return cols, walk(val)
 
@@ -238,7 +238,7 @@ class Algebra:
         if t.df.columns == ["value"]:
             return SetExpr(frozenset([a.no]), V.of_column(F.col(names["value"]), t.df.schema["value"].dataType))
         fields = {c: V.of_column(F.col(names[c]), t.df.schema[c].dataType) for c in t.df.columns}
-        return SetExpr(frozenset([a.no]), Val("obj", fields=fields))
+        return SetExpr(frozenset([a.no]), Val("obj", fields=fields, row=True))
 
     def constant(self, x) -> SetExpr:
         return SetExpr(frozenset(), V.undefined() if x is E else V.constant(x))
@@ -250,7 +250,7 @@ class Algebra:
 
     def where(self, s: SetExpr, p: SetExpr) -> SetExpr:
         both = self.combine([s, p], lambda v, _: v)
-        return SetExpr(both.atoms, s.val, (*both.preds, V.as_bool(p.val)))
+        return SetExpr(both.atoms, s.val, (*both.preds, V.as_bool(p.val) if p.val.sieve is None else p.val.sieve))
 
     def cond(self, p: SetExpr, a: SetExpr, b: SetExpr) -> SetExpr:
         """if p then a else b, as one expression where the three share their atoms, else as a union of two filtered sets."""
@@ -260,7 +260,7 @@ class Algebra:
                 if kind == "obj":
                     return Val("obj", fields={k: f(pv, x.fields[k], y.fields[k]) for k in x.fields}, inner=True)
                 zone = F.when(V.as_bool(pv), x.zone).otherwise(y.zone) if kind == "date" else None
-                return Val(kind, F.when(V.as_bool(pv), x.col).when(~V.as_bool(pv), y.col), zone=zone, integral=x.integral and y.integral)
+                return Val(kind, F.when(V.as_bool(pv), x.col).when(~V.as_bool(pv), y.col), zone=zone, integral=x.integral and y.integral, dirty=x.dirty or y.dirty)
 
             return self.combine([p, a, b], f)
         no = SetExpr(p.atoms, V.boolean(~V.as_bool(p.val)), p.preds)
@@ -291,13 +291,14 @@ class Algebra:
 
     @contextmanager
     def relate(self, *sets: SetExpr):
-        """Within it, the sets may be combined although they have no common identity (pairwise along the list)."""
+        """Within it, the sets may be combined although they have no common identity."""
         pairs = []
-        for a, b in zip(sets, sets[1:]):
-            sa, sb = self.sources(a), self.sources(b)
-            if set(sa) & set(sb):
-                raise E.AlreadyRelatedSets(f"{sa} and {sb}")
-            pairs += [frozenset((x, y)) for x in sa for y in sb]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                sa, sb = self.sources(a), self.sources(b)
+                if set(sa) & set(sb) and j == i - 1:
+                    raise E.AlreadyRelatedSets(f"{sa} and {sb}")
+                pairs += [frozenset((x, y)) for x in sa for y in sb if x != y]
         before = list(self.relations)
         self.relations += pairs
         try:
