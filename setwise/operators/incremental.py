@@ -102,10 +102,12 @@ def flag_pending(rows: DataFrame, committed: DataFrame, keys: list[str], seq: st
     numbers spares reading what rows computes.
     """
     gap = stage(gaps(rows if available is None else available, committed, keys, seq), "gaps")
-    at = rows.withColumn("_bucket", F.floor(F.col(seq).cast("bigint") / BUCKET))
+    # The rest of a row travels in one struct, so that no name of it can clash.
+    keep = [c for c in rows.columns if c != flag]
+    at = rows.select(*keys, F.col(seq).cast("bigint").alias("_s"), F.floor(F.col(seq).cast("bigint") / BUCKET).alias("_bucket"), F.struct(*keep).alias("_row"))
     joined = skew_join(at, gap, [*keys, "_bucket"], "left")
-    inside = F.exists("gaps", lambda g: F.col(seq).between(g["lo"], g["hi"]))
-    return joined.withColumn(flag, F.coalesce(inside, F.lit(True))).drop("gaps", "_bucket")
+    inside = F.exists("gaps", lambda g: F.col("_s").between(g["lo"], g["hi"]))
+    return joined.select("_row", F.coalesce(inside, F.lit(True)).alias("_flag")).select("_row.*", F.col("_flag").alias(flag))
 
 
 class IntervalLedger:

@@ -36,6 +36,9 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: st
     if len(keys) > 6:
         raise ValueError("at most 6 key columns")
     life = [F.min("created_at").alias("_created"), F.min("removed_at").alias("_removed")] if at else []
+    # The rest of a row travels in one struct, so that no name of it can clash; a column kind is replaced.
+    keep = [c for c in refs.columns if c != "kind"]
+    refs = refs.select(*keys, *([F.col(at).alias("_at")] if at else []), F.struct(*keep).alias("_row"))
     out = None
     for mask in product((True, False), repeat=len(keys)):
         if not any(mask) or (not all(mask) and match == "simple"):
@@ -51,11 +54,11 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: st
             alive = targets.dropna(subset=on).groupBy(*on).agg(F.lit(True).alias("_there"), *life)
             kind = F.when(F.col("_there").isNull(), "missing")
             if at:
-                kind = kind.when(F.col(at).isNotNull() & (F.col("_created").isNull() | (F.col("_created") > F.col(at))), "late").when(F.col("_removed") <= F.col(at), "deleted")
-            found = skew_join(part, alive, on, "left").withColumn("kind", kind).where("kind is not null").drop("_there", "_created", "_removed")
-            found = found.select(*refs.columns, "kind")
+                kind = kind.when(F.col("_at").isNotNull() & (F.col("_created").isNull() | (F.col("_created") > F.col("_at"))), "late").when(F.col("_removed") <= F.col("_at"), "deleted")
+            found = skew_join(part, alive, on, "left").withColumn("kind", kind).where("kind is not null")
+        found = found.select("_row", "kind")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.select("_row.*", "kind")
 
 
 def platform_references(api_keys: DataFrame, job_messages: DataFrame, job_statuses: DataFrame, scheduled_tasks: DataFrame) -> DataFrame:
