@@ -77,7 +77,7 @@ def reduce(alg: Algebra, name: str, s: SetExpr) -> SetExpr:
     out = r.out
     if name in ("min", "max") and v.integral:
         out = lambda c: V.num(c, True)
-    return alg.reduce(s, r.agg, r.pick, out, r.empty)
+    return alg.reduce(s, r.agg, r.pick, out, r.empty, carry=name if name in ("count", "sum", "min", "max") else None)
 
 
 def single_summary(alg: Algebra, s: SetExpr) -> SetExpr:

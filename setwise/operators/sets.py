@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .. import errors as E
 from ..functions import values as V
 from ..functions.values import Val
-from ..scale import stage
+from ..scale import prefix, stage
 
 #: Rows that a cross may produce at most.
 MAX_CROSS = 2_400_000_000
@@ -54,6 +54,7 @@ class SetExpr:
     preds: tuple[Column, ...] = ()
     seed: int | None = None
     constant_only: bool = False
+    theta: "Theta | None" = None
 
     def with_val(self, val: Val) -> "SetExpr":
         return SetExpr(self.atoms, val, self.preds)
@@ -74,6 +75,16 @@ class Solve:
         return f"id_s{self.no}_{var}"
 
 
+@dataclass
+class Theta:
+    """How a set was filtered by one inequality between an expression of its own and the only variable of a solve."""
+
+    base: SetExpr
+    expr: Val
+    op: str
+    solve: Solve
+
+
 @dataclass
 class Group:
     atom: int
@@ -387,12 +398,12 @@ class Algebra:
 
     # --- reductions ------------------------------------------------------------------------------
 
-    def reduce(self, s: SetExpr, agg: Callable[[Column], Column], pick: Callable[[Val], Column], out: Callable[[Column], Val], empty: object = None) -> SetExpr:
+    def reduce(self, s: SetExpr, agg: Callable[[Column], Column], pick: Callable[[Val], Column], out: Callable[[Column], Val], empty: object = None, carry: str | None = None) -> SetExpr:
         """One value of the whole set, or, inside a solve whose variables the set depends on, one for each key.
 
         agg: from the picked column (null where the row doesn't count) to an aggregate;
-        empty: what an empty set gives (None: nothing). All reductions over the same
-        rows share one aggregation.
+        empty: what an empty set gives (None: nothing); carry: count, sum, min or max, if
+        it is one of these. All reductions over the same rows share one aggregation.
         """
         cond = V.defined(s.val)
         for p in s.preds:
@@ -412,8 +423,12 @@ class Algebra:
             c = F.col(name)
             return SetExpr(frozenset([own.agg_atom, solve.keys_atom]), out(F.coalesce(c, F.lit(empty)) if empty is not None else c))
         on = [solve.source(v) for v in solve.variables]
+        t = s.theta
+        ordered = t is not None and carry and t.expr.kind in ("num", "date") and solve.kinds[solve.variables[0]].kind == t.expr.kind
 
         def build() -> DataFrame:
+            if ordered:
+                return self._carried(t, carry, pick(t.base.val), name)
             key_df = self.atoms[solve.keys_atom].df()
             df = self.frame(s.atoms | {solve.keys_atom})
             per = df.where(cond).groupBy(*on).agg(agg(picked).alias(name))
@@ -435,6 +450,39 @@ class Algebra:
             return self._global(atoms)
         return no, aggs
 
+    def where_theta(self, s: SetExpr, expr: SetExpr, op: str, solve: Solve, compare: Callable[[Val, Val], Val]) -> SetExpr:
+        """s where expr op key, for the only variable of a solve.
+
+        As a set it is the cross that it says; but a reduction of it that can be carried
+        along an order (count, sum, min, max) never makes that cross, see _carried.
+        """
+        base = self.combine([s, expr], lambda v, _: v)
+        key = self.key(solve, solve.variables[0])
+        out = self.where(s, self.combine([expr, key], compare))
+        out.theta = Theta(base, expr.val, op, solve)
+        return out
+
+    def _carried(self, t: Theta, fn: str, pick: Column, name: str) -> DataFrame:
+        """(key, aggregate) for every key: values and keys in one order, the aggregate of all values before each key (scale.prefix)."""
+        up = t.op in ("lt", "lte")
+        order = lambda v: F.unix_micros(v.col) if v.kind == "date" else V.as_num(v)
+        sign = lambda c: c if up else -c
+        cond = V.defined(t.base.val)
+        for p in t.base.preds:
+            cond = cond & p
+        own = order(t.expr)
+        part = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[fn]
+        rows = self.frame(t.base.atoms, ids=False).where(cond & own.isNotNull())
+        rows = rows.select(sign(own).alias("_o"), pick.alias("_p")).groupBy("_o").agg(part("_p").alias("_a"))
+        at = t.solve.source(t.solve.variables[0])
+        like = t.solve.kinds[t.solve.variables[0]]
+        key = F.unix_micros(F.col(at)) if like.kind == "date" else F.col(at)
+        tag = 0 if t.op in ("lt", "gt") else 2  # with a strict inequality, a key stands before the values equal to it
+        keys = self.atoms[t.solve.keys_atom].df().select(at, sign(key).alias("_o"), F.lit(tag).alias("_t"))
+        both = keys.unionByName(rows.withColumn("_t", F.lit(1)), allowMissingColumns=True)
+        run = prefix(both, [F.col("_o"), F.col("_t")], {name: ("sum" if fn in ("count", "sum") else fn, F.col("_a")), "_any": ("count", F.col("_a"))})
+        return run.where("_t <> 1").select(at, F.when(F.col("_any") > 0, F.col(name)).alias(name))
+
     # --- solve -----------------------------------------------------------------------------------
 
     @contextmanager
