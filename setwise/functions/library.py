@@ -466,6 +466,11 @@ _PERIOD_PARTS = ("years", "months", "weeks", "days", "hours", "minutes", "second
 
 @register("std::time::parsePeriod", 1)
 def parse_period(a: Val) -> Val:
+    if isinstance(a.lit, str):
+        m = re.match(_PERIOD, a.lit)
+        if not m or len(a.lit) < 2:
+            return undefined()
+        return Val("period", F.struct(*[F.lit(int(g or 0)).alias(n) for n, g in zip(_PERIOD_PARTS, m.groups())]))
     s = as_plain_text(a)
     part = lambda i: F.coalesce(F.regexp_extract(s, _PERIOD, i).try_cast("int"), F.lit(0))
     cols = [part(i + 1).alias(n) for i, n in enumerate(_PERIOD_PARTS)]
@@ -487,15 +492,21 @@ def _plus_period(ts: Column, p: Column, times: Column) -> Column:
 def time_range(a: Val) -> Val:
     """{start, end, step}: the dates from start to end, both included, step after step."""
     start, end, step = as_date(deref(a, "start")), as_date(deref(a, "end")), as_period(deref(a, "step"))
-    p = step.col
-    micros = F.unix_micros(_plus_period(start.col, p, F.lit(1))) - F.unix_micros(start.col)
-    ok = start.col.isNotNull() & end.col.isNotNull() & (micros > 0)
-    # Calendar steps are at least 28/31 of the first step long, so this many reach the end.
-    most = F.when(ok, F.greatest(F.lit(0), F.ceil((F.unix_micros(end.col) - F.unix_micros(start.col)) / (micros * 0.9)) + 1))
-    at = F.transform(F.sequence(F.lit(0).cast("bigint"), most.cast("bigint")), lambda i: _plus_period(start.col, p, i))
-    out = F.transform(F.filter(at, lambda t: t <= end.col), lambda t: F.struct(t.alias("ts"), start.zone.alias("zone")))
+    if step.kind != "period":
+        return undefined()
+
+    def dates(p: Column) -> Column:
+        micros = F.unix_micros(_plus_period(start.col, p, F.lit(1))) - F.unix_micros(start.col)
+        ok = start.col.isNotNull() & end.col.isNotNull() & (micros > 0)
+        # Calendar steps are at least 28/31 of the first step long, so this many reach the end.
+        most = F.when(ok, F.greatest(F.lit(0), F.ceil((F.unix_micros(end.col) - F.unix_micros(start.col)) / (micros * 0.9)) + 1))
+        at = F.transform(F.sequence(F.lit(0).cast("bigint"), most.cast("bigint")), lambda i: _plus_period(start.col, p, i))
+        return F.when(ok, F.transform(F.filter(at, lambda t: t <= end.col), lambda t: F.struct(t.alias("ts"), start.zone.alias("zone"))))
+
+    # The period is bound once, so that a text is not read again for every date.
+    out = F.get(F.transform(F.array(step.col), dates), F.lit(0))
     stamp = T.StructType([T.StructField("ts", T.TimestampType()), T.StructField("zone", T.StringType())])
-    return Val("array", F.when(ok, out), dtype=T.ArrayType(stamp))
+    return Val("array", out, dtype=T.ArrayType(stamp))
 
 
 @register("std::time::minTimeOf", 2)

@@ -38,6 +38,7 @@ class Val:
     integral: bool = False
     dirty: bool = False  # a double that may be NaN or infinite, which counts as undefined
     row: bool = False  # a loaded row, which is there whatever its members
+    ok: Column | None = None  # kept by whole()
     sieve: Column | None = None  # for a boolean: a form of it for filters, which scans can use
 
 
@@ -130,6 +131,15 @@ def defined(v: Val) -> Column:
     return v.col.isNotNull()
 
 
+def whole(v: Val) -> Column | None:
+    """For an object or array written in a query: the condition under which it exists, always the same column object; else None."""
+    if v.kind in ("obj", "arr") and v.inner and v.col is None:
+        if v.ok is None:
+            v.ok = defined(v)
+        return v.ok
+    return None
+
+
 def column(v: Val, keep_zone: bool = False) -> Column:
     """The value as one column: objects as structs, known arrays as arrays, dates as timestamps (or with their zone)."""
     if v.kind == "obj":
@@ -263,15 +273,14 @@ def as_date(v: Val) -> Val:
 
 
 def deref(v: Val, name: str) -> Val:
-    """v.name; undefined where v is no object or has no such member."""
+    """v.name; undefined where v is no object or has no such member.
+
+    A member of an object written in a query exists only where the whole object does;
+    whoever takes it out also filters by whole(v).
+    """
     if v.kind == "obj":
         m = v.fields.get(name)
-        if m is None:
-            return undefined()
-        if v.inner:  # a member exists only where the whole object does
-            ok = defined(v)
-            return guard(m, ok)
-        return m
+        return undefined() if m is None else m
     if v.kind == "variant":
         path = name.replace("'", "\\'")
         return Val("variant", F.try_variant_get(v.col, f"$['{path}']", "variant"))
@@ -292,7 +301,7 @@ def index(v: Val, i: Val) -> Val:
     if v.kind == "arr":
         if isinstance(i.lit, (int, float)):
             k = int(i.lit)
-            return guard(v.items[k], defined(v)) if 0 <= k < len(v.items) else undefined()
+            return v.items[k] if 0 <= k < len(v.items) else undefined()
         return index(Val("array", column(v), dtype=T.ArrayType(_element(v))), i)
     n = F.floor(as_num(i)).cast("int")
     if v.kind == "array":

@@ -263,6 +263,12 @@ class Algebra:
         both = self.combine([s, p], lambda v, _: v)
         return SetExpr(both.atoms, s.val, (*both.preds, V.as_bool(p.val) if p.val.sieve is None else p.val.sieve))
 
+    @staticmethod
+    def member(base: SetExpr, out: SetExpr) -> SetExpr:
+        """out, taken from base, exists only where all of base does."""
+        ok = V.whole(base.val)
+        return out if ok is None or any(p is ok for p in out.preds) else SetExpr(out.atoms, out.val, (*out.preds, ok))
+
     def cond(self, p: SetExpr, a: SetExpr, b: SetExpr) -> SetExpr:
         """if p then a else b, as one expression where the three share their atoms, else as a union of two filtered sets."""
         if a.atoms <= p.atoms and b.atoms <= p.atoms and not a.preds and not b.preds:

@@ -321,20 +321,15 @@ def assign_clusters(alg: Algebra, features: SetExpr, model: SetExpr) -> SetExpr:
     """{modelN: {clusterId, clusterCenter}}: the nearest centre of each model."""
 
     def one(x: Val, m: Val) -> Val:
-        best, name, centre = None, None, None
+        paths = [p for p, _ in numeric_leaves(next(iter(m.fields.values())))]
+        choices = []
         for k, c in m.fields.items():
-            leaves = numeric_leaves(c)
-            dist = F.lit(0.0)
+            dist, leaves = F.lit(0.0), numeric_leaves(c)
             for p, v in leaves:
-                dist = dist + F.pow(V.as_num(_at(x, p)).cast("double") - v, F.lit(2.0))
-            if best is None:
-                best, name, centre = dist, F.when(dist.isNotNull(), F.lit(k)), {p: v for p, v in leaves}
-            else:
-                nearer = dist < best
-                name = F.when(nearer, F.lit(k)).otherwise(name)
-                centre = {p: F.when(nearer, v).otherwise(centre[p]) for p, v in leaves}
-                best = F.when(nearer, dist).otherwise(best)
-        return V.obj({"clusterId": V.text(name), "clusterCenter": rebuild({p: V.num(v) for p, v in centre.items()})})
+                dist = dist + F.pow(V.as_num(_at(x, p), checked=False).cast("double") - v, F.lit(2.0))
+            choices.append(F.when(V.is_finite(dist), F.struct(dist.alias("d"), F.lit(k).alias("k"), *[v.alias(f"c{i}") for i, (_, v) in enumerate(leaves)])))
+        best = F.array_min(F.array(*choices))  # each distance is computed once
+        return V.obj({"clusterId": V.text(best["k"]), "clusterCenter": rebuild({p: V.num(best[f"c{i}"]) for i, p in enumerate(paths)})})
 
     return alg.combine([features, model], lambda x, m: V.obj({k: one(x, mm) for k, mm in m.fields.items()}))
 
