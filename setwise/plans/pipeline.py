@@ -1,4 +1,4 @@
-"""Queries of the training-data problems 1 to 6, and the SQL that states the same results."""
+"""Queries of the training-data problems 1 to 6, and the SQL that states the same results (p4 has none: quoting is no matter for SQL)."""
 
 from __future__ import annotations
 
@@ -115,6 +115,22 @@ found as (
   where t.k is null or created > cur or removed <= cur)"""
 
 ORACLE: dict[str, str] = {
+    "p1_found": r"""
+with recursive src as (
+  select distinct tree_id, ltrim(ctree, chr(65279) || E' \t\r\n') as t from segment_trees where ctree is not null),
+decoded as (select tree_id, case when t[1] = '"' then ltrim(json_extract_string(t, '$'), chr(65279) || E' \t\r\n') else t end as t from src),
+n as (
+  select tree_id, 'root' as kind, '' as node_path, '' as parent_path, cast(t as json) as j from decoded where t[1] = '{'
+  union all
+  select n.tree_id, case when p.part = 'indices' then 'index' else 'field' end,
+    n.node_path || case when p.part = 'indices' then '[' || e.key || ']' when json_type(n.j, '$.fields') = 'ARRAY' then '.' || json_extract_string(e.value, '$.name') else '.' || e.key end,
+    n.node_path,
+    case when p.part = 'fields' and json_type(n.j, '$.fields') = 'ARRAY' then json_extract(e.value, '$.tree') else e.value end
+  from n, (values ('fields'), ('indices')) p(part), json_each(n.j, '$.' || p.part) e
+  where (p.part = 'fields' and json_type(n.j, '$.fields') in ('OBJECT', 'ARRAY')) or (p.part = 'indices' and json_type(n.j, '$.indices') = 'ARRAY' and json_type(e.value) <> 'NULL'))
+select distinct tree_id, kind, node_path, parent_path from n where kind <> 'root'
+union
+select tree_id, 'column', s.selector || ':' || coalesce(s.ctype, ''), s.selector from (select tree_id, unnest(slice_columns) as s from segment_trees) where s.selector is not null""",
     "p1_chunks": """
 select distinct tree_id, cast(slice_columns_pos - 1 as int) as slice_columns_pos, cast(chunks_pos - 1 as int) as chunks_pos,
   chunks[chunks_pos].chunk_no as chunk_no, chunks[chunks_pos].defined_rows as defined_rows
