@@ -117,7 +117,8 @@ def prefix(df: DataFrame, order: list[Column], aggs: dict[str, tuple[str, Column
     holds the aggregate of all rows strictly before the row in the order (null, or 0
     for sum and count, for the first). Rows are range-partitioned once and staged;
     the parts' totals, one row a part, are the only thing that is ordered globally.
-    Ties in `order` get an arbitrary but fixed order; make it total where that matters.
+    `order` are plain columns, ascending with nulls first (negate numbers to descend).
+    Ties in it get an arbitrary but fixed order; make it total where that matters.
     """
     spark = df.sparkSession
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
