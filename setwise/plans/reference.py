@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..lang.compiler import query
+from ..operators import tables
 from ..operators.sets import Table
+from ..scale import shared_dir
 from ..session import table
+from ..streaming import ingest
 
 #: Tables and their keys; lineitem has none, so its rows are numbered where identities are needed.
 KEYS = {
@@ -303,3 +308,72 @@ def _runner(spec: tuple) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"q_{n}": _runner(s) for n, s in SPECS.items()}
 ORACLE: dict[str, str] = {f"q_{n}": s[1] for n, s in SPECS.items() if s[1]}
+
+
+# --- operators on tables and streams -------------------------------------------------------------
+
+
+def _cogroup(spark: SparkSession, d: str) -> DataFrame:
+    c, o = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    return tables.cogroup(c, o, ["k"], lambda: F.lit(0).cast("bigint"), lambda: F.lit(-1).cast("bigint"), lambda: F.col("n"), "n")
+
+
+def _align(spark: SparkSession, d: str) -> DataFrame:
+    return tables.align(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct(), ["k"])[0]
+
+
+def _take_range(spark: SparkSession, d: str) -> DataFrame:
+    return tables.take_range(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], 100, 50)
+
+
+def _zip(spark: SparkSession, d: str) -> DataFrame:
+    return tables.zip_rows(table(spark, d, "nation").select("n_name"), table(spark, d, "customer").select("c_custkey"), [F.col("n_name")], [F.col("c_custkey")])
+
+
+def _schemas(spark: SparkSession, d: str) -> DataFrame:
+    return tables.schemas(table(spark, d, "events").select(F.try_parse_json("props").alias("value")))
+
+
+def _sample(spark: SparkSession, d: str) -> DataFrame:
+    return tables.sample(table(spark, d, "orders"), 200, seed=5).agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+
+
+def _scan(spark: SparkSession, d: str) -> DataFrame:
+    return tables.scan(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [F.col("o_orderkey")], "total", "sum", F.col("o_custkey"))
+
+
+def _json_values(spark: SparkSession, d: str) -> DataFrame:
+    """A mixed JSON column through the language: the numbers under k, by event type."""
+    ev = table(spark, d, "events").select("event_id", "event_type", F.try_parse_json("props").alias("props"))
+    return query(spark, "e := //e solve 't g := e where e.event_type = 't {t: 't, n: count(g.props.k), top: max(g.props.k)}", {"/e": Table(ev, ("event_id",))})
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """events as a stream: counts in windows of an hour."""
+    schema = table(spark, d, "events").schema.simpleString()[7:-1].replace(":", " ")
+    src = ingest.stream_files(spark, f"{d}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    agg = ingest.windowed(src, "ts", "1 hour", ["event_type"], [F.count("*").alias("n")])
+    out = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n").write.mode("overwrite").parquet(f"{out}/data")
+
+    agg.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/data")
+
+
+QUERIES.update({
+    "q_table_cogroup": _cogroup, "q_table_align": _align, "q_table_take_range": _take_range, "q_table_zip": _zip, "q_table_schemas": _schemas, "q_table_sample": _sample,
+    "q_table_scan": _scan, "q_json_values": _json_values, "q_stream_windows": _stream,
+})
+ORACLE.update({
+    "q_table_cogroup": "with o as (select o_custkey as k, count(*) as n from orders group by 1) select coalesce(c_custkey, k) as k, case when k is null then 0 when c_custkey is null then -1 else n end as n from customer full join o on c_custkey = k",
+    "q_table_align": "select c_custkey as k, c_name from customer where c_custkey in (select o_custkey from orders)",
+    "q_table_take_range": "select o_orderkey from orders order by 1 limit 50 offset 100",
+    "q_table_zip": "select n_name, c_custkey from (select n_name, row_number() over (order by n_name) as i from nation) join (select c_custkey, row_number() over (order by c_custkey) as i from customer) using (i)",
+    "q_table_schemas": "select distinct 'OBJECT<k: BIGINT>' as schema from events where props is not null",
+    "q_table_sample": "select cast(least(200, count(*)) as bigint) as n, cast(least(200, count(*)) as bigint) as keys from orders",
+    "q_table_scan": "select o_orderkey, o_custkey, cast(sum(o_custkey) over (order by o_orderkey) as bigint) as total from orders",
+    "q_json_values": "select event_type as t, count(props->>'$.k') as n, max(cast(props->>'$.k' as double)) as top from events group by 1",
+    "q_stream_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2",
+})
