@@ -73,21 +73,24 @@ def aligned_stretch(doc: list[str], item: list[str], places: dict[tuple, list[in
                 a -= 1
             runs.append((a, b, a + off, b + off))
             done = b
-    runs.sort()
-    best: list[tuple[float, int, int, int]] = []  # score, start, agreeing, end in the doc
+    runs.sort(key=lambda r: (r[2], r[0]))
+    best: list[tuple[float, int, int]] = []  # score, start, agreeing
+    recent: list[int] = []  # runs that end near enough to be continued
     top = (0.0, 0, 0)
-    for j, (a, b, p0, p1) in enumerate(runs):
+    for j, (a, b, p0, _) in enumerate(runs):
+        recent = [i for i in recent if runs[i][3] >= p0 - SKIP_DOC]
         cur = (float(b - a), a, b - a)
-        for i in range(j):
+        for i in recent:
             ia, ib, _, ip1 = runs[i]
             over = max(0, ib - a)
-            if ia >= a or b <= ib or over > 8 or not -over <= p0 - ip1 <= SKIP_DOC or a - ib > SKIP_ITEM:
+            if ia >= a or b <= ib or over > 8 or p0 - ip1 < -over or a - ib > SKIP_ITEM:
                 continue
-            score, start, agree, _ = best[i]
+            score, start, agree = best[i]
             gain = score + (b - max(a, ib)) - 2 * max(0, a - ib)
             if gain > cur[0]:
                 cur = (gain, start, agree + b - max(a, ib))
-        best.append((*cur, p1))
+        best.append(cur)
+        recent.append(j)
         if cur[0] > top[0]:
             top = (cur[0], b - cur[1], cur[2])
     return top[1], top[2]
