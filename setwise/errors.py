@@ -41,3 +41,7 @@ class AssertionFailed(SetwiseError):
 
 class EnormousCross(SetwiseError):
     """A cross of more rows than permitted."""
+
+
+class QueryTimeout(SetwiseError):
+    """A query that took longer than it may."""

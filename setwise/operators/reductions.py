@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import errors as E
 from ..functions import values as V
 from ..functions.library import finite
 from ..functions.values import Val
@@ -123,13 +124,34 @@ def rebuild(leaves: dict[tuple[str, ...], Val]) -> Val:
     return V.obj({k: rebuild(g) for k, g in groups.items()})
 
 
+#: Shapes that a summary of mixed JSON may have at most.
+MAX_SHAPES = 200
+
+
+def shapes(alg: Algebra, s: SetExpr) -> list[SetExpr]:
+    """A set of mixed JSON as one set of typed values for each shape of its elements, in the order of the shapes' names."""
+    name = F.schema_of_variant(s.val.col)
+    got = [r[0] for r in alg.rows(s, ids=False).select(name.alias("n")).distinct().limit(MAX_SHAPES + 1).collect()]
+    if len(got) > MAX_SHAPES:
+        raise E.SetwiseError(f"more than {MAX_SHAPES} shapes")
+    out = []
+    for n in sorted(got):
+        if n in ("VOID", "VARIANT"):
+            continue
+        ddl = n.replace("OBJECT<", "STRUCT<").replace("VOID", "VARIANT")
+        t = alg.spark.createDataFrame([], f"v {ddl}").schema["v"].dataType
+        out.append(SetExpr(s.atoms, V.of_column(F.try_variant_get(s.val.col, "$", ddl), t), (*s.preds, name == n)))
+    return out
+
+
 def summary(alg: Algebra, s: SetExpr) -> SetExpr:
-    """{model1: ...}: the summary at every numeric leaf of a set whose elements have one known shape."""
-    leaves = numeric_leaves(s.val)
-    parts, paths = [], []
-    for p, c in leaves:
-        parts.append(single_summary(alg, SetExpr(s.atoms, V.num(c), s.preds)))
-        paths.append(p)
+    """{model1: ...}: the summary at every numeric leaf, one model for each shape of the set's elements."""
+    models = shapes(alg, s) if s.val.kind == "variant" else [s]
+    parts, places = [], []
+    for i, m in enumerate(m for m in models if numeric_leaves(m.val)):
+        for p, c in numeric_leaves(m.val):
+            parts.append(single_summary(alg, SetExpr(m.atoms, V.num(c, dirty=True), m.preds)))
+            places.append((f"model{i + 1}", *p))
     if not parts:
         return alg.undefined()
-    return alg.combine(parts, lambda *vs: V.obj({"model1": rebuild(dict(zip(paths, vs)))}))
+    return alg.combine(parts, lambda *vs: rebuild(dict(zip(places, vs))))

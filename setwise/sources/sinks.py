@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import SetwiseError
+from ..errors import QueryTimeout, SetwiseError
 
 
 def json_lines(df: DataFrame) -> DataFrame:
@@ -56,6 +58,31 @@ class ResultCache:
         return self.catalog.read(path)
 
 
+def collect(df: DataFrame, timeout: float | None = None) -> list:
+    """The rows of a result; after `timeout` seconds its jobs are cancelled and QueryTimeout is raised."""
+    if timeout is None:
+        return df.collect()
+    sc, tag = df.sparkSession.sparkContext, f"setwise-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(timeout, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise QueryTimeout(f"more than {timeout} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
 def page(df: DataFrame, limit: int | None = None, skip: int = 0) -> DataFrame:
     if skip and limit is None:
         raise SetwiseError("skip needs a limit")

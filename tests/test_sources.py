@@ -134,3 +134,12 @@ def test_scheduled_query(spark, tmp_path):
     streams.run_scheduled(c, "n := //n {d: n.v * 2}", "/out")
     streams.run_scheduled(c, "n := //n {d: n.v * 3}", "/out")
     assert sorted(r.d for r in c.read("/out").collect()) == [0, 3, 6, 9]
+
+
+def test_timeout(spark):
+    from setwise.errors import QueryTimeout
+
+    assert len(sinks.collect(spark.range(3), timeout=60)) == 3
+    slow = spark.range(20_000_000, numPartitions=4).selectExpr("max(sha2(sha2(cast(id as string), 512), 512))")
+    with pytest.raises(QueryTimeout):
+        sinks.collect(slow, timeout=0.3)
