@@ -5,13 +5,15 @@ the capacity. A configuration linear program over it - minimise the number of
 containers, each filled by one configuration, so that every length is covered - is
 solved by multiplicative weights; its pricing problem, the most valuable
 configuration, is a knapsack solved by dynamic programming. The solution is
-rounded down; what is left over, a part that doesn't grow with the number of texts,
-goes through the same pricing with the remaining numbers and at last by best fit.
+rounded down and what is left is solved again; the last rest - at most some texts
+for each of the ROUNDS * lengths configurations, however many texts there are - is
+placed by pricing within the remaining numbers and by best fit.
 Texts get their places by rank within their length.
 """
 
 from __future__ import annotations
 
+import bisect
 import os
 from collections import Counter
 from collections.abc import Iterator
@@ -25,9 +27,10 @@ from ..scale import stage
 
 TOKENIZER = os.environ.get("SETWISE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 ROUNDS = 60  # rounds of multiplicative weights
-RATE = 0.5  # their learning rate
+PASSES, FEW = 30, 3  # solutions one after another, each for what the one before left, until it is so many texts a length
+RATE = 0.25  # their learning rate
 GOOD = 0.98  # a configuration counts as optimal from this share of the best value on
-REST_ROUNDS = 400  # rounds over the rounded-off rest
+REST_ROUNDS = 40  # rounds over the rounded-off rest before best fit
 SALT = 64  # parts that the texts of one length are ranked in
 
 
@@ -104,15 +107,19 @@ def _best_values(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tupl
     return best, last
 
 
-def _trace(size: int, lengths: np.ndarray, last: np.ndarray) -> Counter:
+def _filled(last: np.ndarray) -> np.ndarray:
+    """For every size the largest size up to it at which an item is taken (0: none)."""
+    at = np.arange(len(last))
+    return np.maximum.accumulate(np.where(last >= 0, at, 0))
+
+
+def _trace(size: int, lengths: np.ndarray, last: np.ndarray, filled: np.ndarray) -> Counter:
     out: Counter = Counter()
+    size = int(filled[size])
     while size > 0:
         i = int(last[size])
-        if i < 0:
-            size -= 1
-        else:
-            out[i] += 1
-            size -= int(lengths[i])
+        out[i] += 1
+        size = int(filled[size - int(lengths[i])])
     return out
 
 
@@ -132,49 +139,32 @@ def solve_configurations(histogram: dict[int, int], capacity: int) -> Plan:
     big = sum(v for k, v in hist.items() if 2 * k > capacity)
     bound = max(-(-total // capacity), big)
     lengths = np.array(sorted(hist), np.int64)
-    counts = np.array([hist[int(k)] for k in lengths], float)
-    need = counts / counts.sum()
-
-    price = lengths / capacity
-    mix: Counter = Counter()
-    covered = np.zeros(len(lengths))
-    for _ in range(ROUNDS):
-        best, last = _best_values(lengths, price, capacity)
-        top = best[capacity]
-        through = price + best[capacity - lengths]
-        gain = np.zeros(len(lengths))
-        for i in np.nonzero(through >= GOOD * top)[0]:
-            config = _trace(capacity - int(lengths[i]), lengths, last)
-            config[int(i)] += 1
-            # filled in proportion to the scarcest of its lengths, so that no round overfills one
-            share = min(counts[j] / n for j, n in config.items())
-            mix[tuple(sorted(config.items()))] += share
-            for j, n in config.items():
-                gain[j] += n * share
-        covered += gain
-        load = covered / counts
-        price = price * np.exp(-RATE * (load / max(load.mean(), 1e-12) - 1).clip(-1, 1))
-        price = np.maximum(price, 1e-9) / max(_value_bound(price, lengths, capacity), 1e-12)
-
-    # Scale every configuration so that none of its lengths is overfilled by the mix, then round down.
     left = np.array([hist[int(k)] for k in lengths], np.int64)
-    ratio = np.where(covered > 0, counts / np.maximum(covered, 1e-12), 0)
     configs: list[dict[int, int]] = []
     times: list[int] = []
 
-    def take(config: dict[int, int] | tuple, n: int) -> None:
+    def take(config, n: int) -> None:
         if n > 0:
             for j, k in config:
                 left[j] -= k * n
             configs.append({int(lengths[j]): k for j, k in config})
             times.append(int(n))
 
-    waste = {c: capacity - sum(int(lengths[j]) * k for j, k in c) for c in mix}
-    for c in sorted(mix, key=lambda c: (waste[c], -mix[c])):
-        n = int(min(mix[c] * min(ratio[j] for j, _ in c), min(left[j] // k for j, k in c)))
-        take(c, n)
-    for c in sorted(mix, key=lambda c: (waste[c], -mix[c])):  # what rounding and scaling left is filled up again
-        take(c, int(min(left[j] // k for j, k in c)))
+    # Solve, round down, and solve again for what rounding left, until that is a few texts a length.
+    for _ in range(PASSES):
+        before = int(left.sum())
+        if before <= FEW * len(lengths):
+            break
+        there = np.nonzero(left > 0)[0]
+        mix, ratio = _solve(lengths[there], left[there].astype(float), capacity)
+        full = {c: capacity - sum(int(lengths[there[j]]) * k for j, k in c) for c in mix}
+        order = sorted(mix, key=lambda c: (full[c], -mix[c]))
+        for c in order:
+            # its amount, scaled down where the mix covers one of its lengths too often
+            n = int(mix[c] * min(ratio[j] for j, _ in c))
+            take([(int(there[j]), k) for j, k in c], int(min(n, min(left[there[j]] // k for j, k in c))))
+        if left.sum() > 0.98 * before:
+            break
 
     for _ in range(REST_ROUNDS):  # the rest: the fullest configuration of what remains, again and again
         there = np.nonzero(left > 0)[0]
@@ -189,6 +179,31 @@ def solve_configurations(histogram: dict[int, int], capacity: int) -> Plan:
     return Plan(capacity, configs, times, bound)
 
 
+def _solve(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[Counter, np.ndarray]:
+    """Multiplicative weights: (a mix of configurations with amounts, per length the demand over what the mix covers)."""
+    price = lengths / capacity
+    mix: Counter = Counter()
+    covered = np.zeros(len(lengths))
+    for _ in range(ROUNDS):
+        best, last = _best_values(lengths, price, capacity)
+        filled = _filled(last)
+        through = price + best[capacity - lengths]
+        gain = np.zeros(len(lengths))
+        for i in np.nonzero(through >= GOOD * best[capacity])[0]:
+            config = _trace(capacity - int(lengths[i]), lengths, last, filled)
+            config[int(i)] += 1
+            # in proportion to the scarcest of its lengths, so that no round overfills one
+            share = min(counts[j] / n for j, n in config.items())
+            mix[tuple(sorted(config.items()))] += share
+            for j, n in config.items():
+                gain[j] += n * share
+        covered += gain
+        load = covered / counts
+        price = price * np.exp(-RATE * (load / max(load.mean(), 1e-12) - 1).clip(-1, 1))
+        price = np.maximum(price, 1e-9) / max(_value_bound(price, lengths, capacity), 1e-12)
+    return mix, np.where(covered > 0, counts / np.maximum(covered, 1e-12), 0)
+
+
 def _value_bound(price: np.ndarray, lengths: np.ndarray, capacity: int) -> float:
     return float((price / lengths).max() * capacity)
 
@@ -224,16 +239,20 @@ def _fullest(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
 
 
 def _best_fit(items: list[int], capacity: int) -> list[dict[int, int]]:
+    """Best fit decreasing; the open bins are kept in the order of their free space."""
     bins: list[list[int]] = []
-    free: list[int] = []
+    free: list[tuple[int, int]] = []  # (free space, bin)
     for k in sorted(items, reverse=True):
-        at = min((i for i in range(len(free)) if free[i] >= k), key=lambda i: free[i], default=None)
-        if at is None:
+        at = bisect.bisect_left(free, (k, -1))
+        if at == len(free):
             bins.append([k])
-            free.append(capacity - k)
+            room, no = capacity - k, len(bins) - 1
         else:
-            bins[at].append(k)
-            free[at] -= k
+            room, no = free.pop(at)
+            bins[no].append(k)
+            room -= k
+        if room:
+            bisect.insort(free, (room, no))
     return [dict(Counter(b)) for b in bins]
 
 
