@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import BROADCAST_ROWS, skew_join, stage
+from ..scale import BROADCAST_ROWS, discard, fits_broadcast, skew_join, stage
 from .words import WordIds, shingle_ids, words
 
 SHINGLE = 5  # words a shingle
@@ -26,6 +26,8 @@ BANDS, ROWS = 16, 5  # at similarity 0.8 a pair shares a band with probability 0
 SEED = 7
 END_CHARS = 1000  # characters before the end in which closing words and open markup are looked for
 TAIL = 8  # words before the end that an alignment must agree in
+GRAM = SHINGLE - 1  # words before the end by which texts that may hold it are looked up; every text compared has so many
+SALTS = 8  # parts in which a large bucket is paired
 
 SPIKE = 4.0  # a length limit: so many times the texts of any length near it ...
 SPIKE_TEXTS = 8  # ... at least so many different texts ...
@@ -220,12 +222,13 @@ def band_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "band int, key bigint, n_words int, doc_id bigint")
 
 
-def copy_pairs(docs: DataFrame) -> DataFrame:
+def copy_pairs(docs: DataFrame, bands: DataFrame | None = None) -> DataFrame:
     """(doc_id, other): each text with the longest text of every band bucket it lies in - a star, never all pairs.
 
-    docs: (doc_id, text), one row per different text.
+    docs: (doc_id, text), one row per different text; bands: their band_keys, where known.
     """
-    bands = stage(band_keys(docs), "bands")
+    if bands is None:
+        bands = stage(band_keys(docs), "bands")
     longest = bands.groupBy("band", "key").agg(F.max(F.struct("n_words", -F.col("doc_id"))).alias("m"), F.count("*").alias("n")).where("n > 1")
     longest = longest.select("band", "key", (-F.col("m.col2")).alias("other"))
     return bands.join(longest, ["band", "key"]).where("doc_id <> other").select("doc_id", "other").distinct()
@@ -286,6 +289,108 @@ def judged_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return paired.join(docs, "doc_id").select("doc_id", "other", "text", "other_text").mapInArrow(run, "doc_id bigint, other bigint, ends string")
 
 
+def _in_buckets(bands: DataFrame, least: int) -> DataFrame:
+    """The rows of bands in buckets of at least so many texts."""
+    return bands.join(bands.groupBy("band", "key").count().where(F.col("count") >= least), ["band", "key"], "left_semi")
+
+
+def end_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, before, last, open): id of the GRAM words before the last word, the last word, and whether the text ends in it."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ids = WordIds()
+        for b in frames:
+            out = ([], [], [], [])
+            for k, t in zip(*(c.to_pylist() for c in b.columns)):
+                ws = words(t)[-GRAM - 1 :]
+                if len(ws) > GRAM:
+                    for lst, v in zip(out, (k, int(shingle_ids(ids(ws[:-1]), GRAM).view(np.int64)[0]), ws[-1], _ends_open(t))):
+                        lst.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["doc_id", "before", "last", "open"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, before bigint, last string, open boolean")
+
+
+def word_places(docs: DataFrame) -> DataFrame:
+    """(other, before, word, final): every word of each text behind the id of the GRAM words before it; final: it is the last."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ids = WordIds()
+        for b in frames:
+            ks, ts = b.column(0).to_pylist(), b.column(1)
+            for lo in range(0, len(ks), 256):
+                out = ([], [], [], [])
+                for k, t in zip(ks[lo : lo + 256], ts.slice(lo, 256).to_pylist()):
+                    ws = words(t)
+                    n = max(0, len(ws) - GRAM)
+                    for lst, v in zip(out, ([k] * n, shingle_ids(ids(ws[:-1]), GRAM).view(np.int64).tolist(), ws[GRAM:], [False] * (n - 1) + [True] * (n > 0))):
+                        lst.extend(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["other", "before", "word", "final"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "other bigint, before bigint, word string, final boolean")
+
+
+def seek(docs: DataFrame, seekers: DataFrame, targets: DataFrame, keys: list[str], verdict: str, shorter_first: bool = False) -> DataFrame:
+    """(doc_id) of the seekers (keys, doc_id, n_words) that show the verdict beside a target (keys, other, n_words) of the same keys.
+
+    Every group's targets are tried from the longest on, in rounds of growing width, until
+    a seeker has its verdict or its groups are exhausted; nothing is left untried.
+    shorter_first: of a pair, the shorter text is the one whose end is judged.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc("n_other"), "other")
+    targets = stage(targets.withColumnRenamed("n_words", "n_other").withColumn("nth", F.row_number().over(order) - 1), "targets")
+    left = stage(seekers.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "seekers")
+    got, lo, width = None, 0, 1
+    while True:
+        some = targets.where(F.col("nth").between(lo, lo + width - 1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = stage(left.join(some, [*keys, "salt"]).select("doc_id", "other", (F.col("n_words") > F.col("n_other")).alias("turn")).distinct(), "tries")
+        if pairs.isEmpty():  # places in a group are without gaps, so nothing follows
+            break
+        pairs = pairs.where("doc_id <> other")
+        if shorter_first:
+            judged = judged_pairs(docs, pairs.select(F.when(F.col("turn"), F.col("other")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("turn"), F.col("doc_id")).otherwise(F.col("other")).alias("other")).distinct())
+            judged = judged.where(F.col("ends") == verdict)
+            judged = stage(judged.select("doc_id", "other").unionByName(judged.select(F.col("other").alias("doc_id"), F.col("doc_id").alias("other"))), "tried")
+            hit = pairs.join(judged, ["doc_id", "other"], "left_semi")
+        else:
+            hit = judged_pairs(docs, pairs.select("doc_id", "other")).where(F.col("ends") == verdict)
+        hit = stage(hit.select("doc_id").distinct(), "hits")
+        got = hit if got is None else got.unionByName(hit)
+        rest = stage(left.join(hit, "doc_id", "left_anti"), "seekers")
+        discard(left)
+        discard(pairs)
+        left, lo, width = rest, lo + width, width * 4
+    return docs.select("doc_id").limit(0) if got is None else got
+
+
+def early_beside_rest(docs: DataFrame, bands: DataFrame, judged: DataFrame) -> DataFrame:
+    """(doc_id) of the texts without a witness in judged that end early beside another text of one of their buckets.
+
+    Only texts that hold the GRAM words before a text's end, and behind them what can
+    run on, can witness for it: they are looked up, and compared until one does.
+    """
+    crowded = stage(_in_buckets(bands, 3), "crowded")  # in a bucket of two the longest is the only other
+    if crowded.isEmpty():
+        return docs.select("doc_id").limit(0)
+    near = docs.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi")
+    tails = end_words(near).join(judged.where("ends = 'early'").select("doc_id").distinct(), "doc_id", "left_anti")
+    tails = stage(tails.where(F.col("open") | F.col("last").rlike(r"\D")), "tails")
+    kinds = tails.select("before", "last", "open").distinct()
+    kinds = F.broadcast(kinds) if fits_broadcast(kinds) else kinds
+    on = ["before", "last", "open"]
+    cut_word = F.col("word").startswith(F.col("last")) & (F.col("word") != F.col("last"))
+    witness = word_places(near).join(kinds, "before").where(cut_word | (F.col("open") & ~F.col("final") & (F.col("word") == F.col("last"))))
+    witness = stage(witness.select("other", *on).distinct(), "witnesses")
+    keys = ["band", "key", *on]
+    targets = witness.join(crowded.withColumnRenamed("doc_id", "other"), "other").select(*keys, "other", "n_words")
+    seekers = tails.join(witness.select(*on).distinct(), on, "left_semi").join(crowded, "doc_id").select(*keys, "doc_id", "n_words")
+    return seek(docs, seekers, targets, keys, "early")
+
+
 # --- all together ----------------------------------------------------------------------------
 
 
@@ -344,8 +449,9 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
 
     one = ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     distinct = stage(src.select("doc_id", "text").join(one, "doc_id", "left_semi"), "texts")
-    judged = stage(judged_pairs(distinct, copy_pairs(distinct)), "judged")
-    early = judged.where("ends = 'early'").select("doc_id").distinct()
+    bands = stage(band_keys(distinct), "bands")
+    judged = stage(judged_pairs(distinct, copy_pairs(distinct, bands)), "judged")
+    early = judged.where("ends = 'early'").select("doc_id").unionByName(early_beside_rest(distinct, bands, judged)).distinct()
 
     ranked = None
     for rank, (reason, part) in enumerate((("limit", at_limit), ("marked limit", marked), ("markup", markup), ("copy ends early", early), ("closing words", closing))):

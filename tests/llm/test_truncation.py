@@ -75,6 +75,37 @@ def test_pairs_are_a_star(spark):
     assert {p.doc_id for p in pairs} | {p.other for p in pairs} == set(range(40))
 
 
+def crowd():
+    """A large group of near-copies: the longest differ before the place where three shorter copies are cut, the others hold it."""
+    rng = random.Random(21)
+    whole = text(rng, 14)
+    stop = whole.index("near the", len(whole) - 90) - 1
+    rows = []
+    for i in range(2, 70):
+        ws, n = whole.split(), len(whole[:stop].split())
+        ws[rng.randrange(5, 25)] = f"word{i}"
+        if i < 40:  # longer, and another word shortly before the cut
+            ws[n - (3, 8)[i % 2]] = f"odd{i}"
+            ws += f"signed{i} by member {i} today".split()
+        if i >= 67:
+            ws = ws[:n]
+        rows.append((i, "b" if i >= 67 else "a", " ".join(ws)))
+    return rows
+
+
+def test_outliers_are_longest_of_a_large_group(spark):
+    rows = crowd()
+    docs = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, text string")
+    brute = {a for a, _, t in rows for b, _, u in rows if a != b and truncation.compare_ends(t, u) == "early"}
+    bands = truncation.stage(truncation.band_keys(docs), "bands")
+    judged = truncation.stage(truncation.judged_pairs(docs, truncation.copy_pairs(docs, bands)), "judged")
+    star = {r.doc_id for r in judged.where("ends = 'early'").collect()}
+    rest = {r.doc_id for r in truncation.early_beside_rest(docs, bands, judged).collect()}
+    assert brute == {67, 68, 69} and star != brute
+    assert star | rest == brute
+    assert brute <= {r.doc_id for r in truncation.truncated(table(spark, rows)).where("reason = 'copy ends early'").collect()}
+
+
 def test_nulls_empty_long_and_clashing(spark):
     rows = [(1, None, "nothing"), (2, "a", None), (3, "a", ""), (4, "a", "   "), (None, "a", "because"), (5, "a", "it broke because"), (5, "a", "it broke because"), (6, "b", "word " * 50_000 + "end."), (7, "b", "see <a hre")]
     df = table(spark, rows).selectExpr("*", "1 as chars", "'x' as reason", "2 as month", "3 as h1", "'y' as last")
