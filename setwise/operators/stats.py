@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.values import Val
+from ..scale import discard, stage
 from .reductions import numeric_leaves, rebuild
 from .sets import Algebra, SetExpr
 
-#: Points that k-medians picks its centres from, and rows that a forest is grown on, at most (bounded fits; scoring covers all rows).
-CORE_SET = 10_000
+#: Rows that a forest is grown on, at most (a bounded fit; scoring covers all rows).
 FOREST_ROWS = 10_000
 FOREST_TREES = 30
 NEWTON_ROUNDS = 25
@@ -287,10 +287,10 @@ def predict_logistic(alg: Algebra, features: SetExpr, model: SetExpr) -> SetExpr
 
 
 def k_medians(alg: Algebra, features: SetExpr, k: int) -> SetExpr:
-    """{model1: {cluster1..k: centre}}: centres are points of the set, by weighted farthest-first traversal over a core-set.
+    """{model1: {cluster1..k: centre}}: centres are points of the set, by weighted farthest-first traversal over all rows.
 
-    The core-set is the CORE_SET different points with the least hashes, each with
-    the number of its repeats; every run takes the same.
+    Repeats are counted first; then each centre is one pass over the different points
+    that keeps only the farthest. Ties go to the least hash, so every run takes the same.
     """
     leaves = numeric_leaves(features.val)
     paths = [p for p, _ in leaves]
@@ -299,17 +299,21 @@ def k_medians(alg: Algebra, features: SetExpr, k: int) -> SetExpr:
     def make() -> dict:
         cols = [c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(leaves)]
         df = alg.rows(SetExpr(features.atoms, features.val, features.preds), ids=False).select(*cols).dropna()
-        per = df.groupBy(*df.columns).agg(F.count("*").alias("w")).orderBy(F.xxhash64(*df.columns)).limit(CORE_SET)
-        got = per.toPandas()
-        if not len(got):
-            return {}
-        x, w = got[[f"x{i}" for i in range(d)]].to_numpy(float), got["w"].to_numpy(float)
-        at = [int(np.argmax(w))]
-        dist = np.linalg.norm(x - x[at[0]], axis=1)
-        while len(at) < min(k, len(x)):
-            at.append(int(np.argmax(dist * np.sqrt(w))))
-            dist = np.minimum(dist, np.linalg.norm(x - x[at[-1]], axis=1))
-        return {f"c{a}_{i}": x[j, i] for a, j in enumerate(at) for i in range(d)}
+        names = df.columns
+        points = stage(df.groupBy(*names).agg(F.count("*").alias("w")).withColumn("h", F.xxhash64(*names)), "points")
+        at: list[tuple[float, ...]] = []
+        while len(at) < k:
+            far = F.col("w").cast("double")
+            if at:
+                from_each = [F.sqrt(sum(((F.col(n) - F.lit(v)) * (F.col(n) - F.lit(v)) for n, v in zip(names, c)), F.lit(0.0))) for c in at]
+                far = (F.least(*from_each) if len(at) > 1 else from_each[0]) * F.sqrt("w")
+            # ~h turns the order of the hashes round without overflow
+            top = points.agg(F.max(F.struct(far.alias("far"), F.bitwise_not("h").alias("h"), *names)).alias("m")).collect()[0]["m"]
+            if top is None or not top["far"] > 0:  # every point is a centre
+                break
+            at.append(tuple(top[n] for n in names))
+        discard(points)
+        return {f"c{a}_{i}": c[i] for a, c in enumerate(at) for i in range(d)}
 
     def shape(c: Callable[[str], Val]) -> Val:
         return _loose(V.obj({"model1": _loose(V.obj({f"cluster{a + 1}": rebuild({p: c(f"c{a}_{i}") for i, p in enumerate(paths)}) for a in range(k)}))}))
