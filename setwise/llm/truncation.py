@@ -391,6 +391,25 @@ def early_beside_rest(docs: DataFrame, bands: DataFrame, judged: DataFrame) -> D
     return seek(docs, seekers, targets, keys, "early")
 
 
+def alike_cut(docs: DataFrame, bands: DataFrame, cut: DataFrame) -> DataFrame:
+    """(doc_id) of cut and of all texts that near-copies ending in the same place link to it, over any number of steps.
+
+    cut: (doc_id) of texts with an open end that were found cut. Each step compares the
+    texts found last with those not found that lie in their buckets and end alike.
+    """
+    shared = _in_buckets(bands, 2)
+    near = docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
+    keys = ["band", "key", "before", "last"]
+    ends = stage(end_words(near).where("open").drop("open").join(shared, "doc_id"), "alike")
+    found = new = stage(cut.select("doc_id").distinct(), "cut")
+    while not new.isEmpty():
+        targets = ends.join(new, "doc_id", "left_semi").select(*keys, F.col("doc_id").alias("other"), "n_words")
+        seekers = ends.join(found, "doc_id", "left_anti").join(targets.select(*keys).distinct(), keys, "left_semi")
+        new = stage(seek(docs, seekers, targets, keys, "same", shorter_first=True).distinct(), "cut")
+        found = found.unionByName(new)
+    return found
+
+
 # --- all together ----------------------------------------------------------------------------
 
 
@@ -462,10 +481,12 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     # A verdict on an unfinished end holds for equal texts and for near-copies that end in the same place.
     known = ends.join(first, "doc_id", "left")
     cut_text = known.where("reason is not null and open_end").groupBy("h1", "h2").agg(F.lit(True).alias("same_text"))
-    cut_docs = known.join(cut_text, ["h1", "h2"], "left_semi").select("doc_id").distinct()
+    # Texts are compared once: one stands for those equal to it.
+    cut_docs = known.join(cut_text, ["h1", "h2"], "left_semi").select("doc_id").join(one, "doc_id", "left_semi")
+    cut_docs = stage(alike_cut(distinct, bands, cut_docs), "alike")
     same = judged.where("ends = 'same'")
     mates = same.join(cut_docs.withColumnRenamed("doc_id", "other"), "other", "left_semi").select("doc_id")
-    mates = mates.unionByName(same.join(cut_docs, "doc_id", "left_semi").select(F.col("other").alias("doc_id")))
+    mates = mates.unionByName(cut_docs).unionByName(same.join(cut_docs, "doc_id", "left_semi").select(F.col("other").alias("doc_id")))
     mate_text = ends.join(mates.distinct(), "doc_id", "left_semi").groupBy("h1", "h2").agg(F.lit(True).alias("mate"))
     out = known.join(cut_text, ["h1", "h2"], "left").join(mate_text, ["h1", "h2"], "left")
     reason = F.coalesce("reason", F.when(F.col("same_text") | F.col("mate"), "copy of a cut text"))

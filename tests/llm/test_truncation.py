@@ -106,6 +106,32 @@ def test_outliers_are_longest_of_a_large_group(spark):
     assert brute <= {r.doc_id for r in truncation.truncated(table(spark, rows)).where("reason = 'copy ends early'").collect()}
 
 
+def test_a_cut_spreads_over_all_reposts(spark):
+    rng = random.Random(31)
+    whole = text(rng, 14)
+    whole = whole[: whole.rindex("near the") - 1]
+    posts = []
+    for i in range(6):
+        ws = whole.split()
+        ws[12 * i + 3] = f"word{i}"
+        posts.append((i, " ".join(ws)))
+    # A chain: each step is a near-copy, its ends are not.
+    for i in range(6, 10):
+        ws = posts[-1][1].split()
+        for j in range(3):
+            ws[80 + 20 * (i - 6) + 6 * j] = f"step{i}x{j}"
+        posts.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(posts, "doc_id bigint, text string")
+    pairs = {(a, b) for a, t in posts for b, u in posts if a != b and truncation.compare_ends(t, u) == "same"}
+    want = {0}
+    while more := {b for a, b in pairs if a in want} - want:
+        want |= more
+    assert len(want) > len({0} | {b for a, b in pairs if a == 0}) and want == set(range(10))
+    bands = truncation.stage(truncation.band_keys(docs), "bands")
+    got = truncation.alike_cut(docs, bands, docs.select("doc_id").where("doc_id = 0"))
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_nulls_empty_long_and_clashing(spark):
     rows = [(1, None, "nothing"), (2, "a", None), (3, "a", ""), (4, "a", "   "), (None, "a", "because"), (5, "a", "it broke because"), (5, "a", "it broke because"), (6, "b", "word " * 50_000 + "end."), (7, "b", "see <a hre")]
     df = table(spark, rows).selectExpr("*", "1 as chars", "'x' as reason", "2 as month", "3 as h1", "'y' as last")
