@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.values import Val
-from ..scale import prefix
-from .sets import Algebra, SetExpr
+from ..scale import prefix, stage
+from .sets import Algebra, SetExpr, is_key
 
 # The order of kinds when values of several kinds are sorted.
 _KIND_ORDER = {"undef": 0, "bool": 1, "str": 2, "num": 3, "obj": 6, "arr": 8, "array": 8, "null": 9, "date": 10, "period": 11}
@@ -36,6 +37,15 @@ def sort_columns(v: Val) -> list[Column]:
     return [V.json_text(v)]
 
 
+def _keys(ids: list[str]) -> list[str]:
+    """The keys of solves among identity columns: the function runs in the order of each key by itself."""
+    return [i for i in ids if is_key(i)]
+
+
+def _own(ids: list[str]) -> list[Column]:
+    return [F.col(i) for i in ids if not is_key(i)]
+
+
 def _rank(alg: Algebra, s: SetExpr, make: Callable[[DataFrame, list[Column], list[str]], DataFrame]) -> SetExpr:
     name = f"rk{next(alg.count)}"
 
@@ -45,31 +55,31 @@ def _rank(alg: Algebra, s: SetExpr, make: Callable[[DataFrame, list[Column], lis
     return alg.morph(s, f)
 
 
-def _per_value(df: DataFrame, order: list[Column], aggs: dict) -> DataFrame:
+def _per_value(df: DataFrame, order: list[Column], aggs: dict, by: list[str]) -> DataFrame:
     keys = {f"_k{i}": o for i, o in enumerate(order)}
     keyed = df.withColumns(keys)
-    per = keyed.groupBy(*keys).agg(F.count("*").alias("_c")).withColumn("_one", F.lit(1))
-    ranked = prefix(per, [F.col(k) for k in keys], aggs)
+    per = keyed.groupBy(*by, *keys).agg(F.count("*").alias("_c")).withColumn("_one", F.lit(1))
+    ranked = prefix(per, [F.col(k) for k in keys], aggs, by=by)
     cond = None
-    for k in keys:
+    for k in [*by, *keys]:
         c = keyed[k].eqNullSafe(ranked[k])
         cond = c if cond is None else cond & c
-    return keyed.join(ranked.select(*keys, "_rank"), cond).select(*[keyed[c] for c in df.columns], "_rank")
+    return keyed.join(ranked.select(*by, *keys, "_rank"), cond).select(*[keyed[c] for c in df.columns], "_rank")
 
 
 def rank(alg: Algebra, s: SetExpr) -> SetExpr:
-    """Competition rank by value, from 0."""
-    return _rank(alg, s, lambda df, order, ids: _per_value(df, order, {"_rank": ("sum", F.col("_c"))}))
+    """Competition rank by value, from 0 (for each key, inside a solve, as all functions here)."""
+    return _rank(alg, s, lambda df, order, ids: _per_value(df, order, {"_rank": ("sum", F.col("_c"))}, _keys(ids)))
 
 
 def dense_rank(alg: Algebra, s: SetExpr) -> SetExpr:
     """Rank among the different values, from 0."""
-    return _rank(alg, s, lambda df, order, ids: _per_value(df, order, {"_rank": ("sum", F.col("_one"))}))
+    return _rank(alg, s, lambda df, order, ids: _per_value(df, order, {"_rank": ("sum", F.col("_one"))}, _keys(ids)))
 
 
 def indexed_rank(alg: Algebra, s: SetExpr) -> SetExpr:
     """Position in the order of values, from 0; equal values in the order of their identities."""
-    return _rank(alg, s, lambda df, order, ids: prefix(df, [*order, *[F.col(i) for i in ids]], {"_rank": ("count", F.lit(1))}))
+    return _rank(alg, s, lambda df, order, ids: prefix(df, [*order, *_own(ids)], {"_rank": ("count", F.lit(1))}, by=_keys(ids)))
 
 
 def dummy(alg: Algebra, s: SetExpr) -> SetExpr:
@@ -77,57 +87,93 @@ def dummy(alg: Algebra, s: SetExpr) -> SetExpr:
     name = f"dm{next(alg.count)}"
 
     def f(val: Val, ids: list[str]):
+        by = _keys(ids)
+
         def make(df: DataFrame) -> DataFrame:
-            r = prefix(df, [*sort_columns(val), *[F.col(i) for i in ids]], {"_rank": ("count", F.lit(1))})
-            n = df.agg(F.count("*").alias("_n"))
+            r = prefix(df, [*sort_columns(val), *_own(ids)], {"_rank": ("count", F.lit(1))}, by=by)
+            n = df.groupBy(*by).agg(F.count("*").alias("_n"))
             hot = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1), lambda i: F.when(i == F.col("_rank"), F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-            return r.crossJoin(F.broadcast(n)).select(*ids, hot.alias(name))
+            sized = r.join(n, by) if by else r.crossJoin(F.broadcast(n))
+            return sized.select(*ids, hot.alias(name))
 
         return make, Val("array", F.col(name), dtype=T.ArrayType(T.LongType()))
 
     return alg.morph(s, f)
 
 
-def _recurrence(alg: Algebra, s: SetExpr, matrix: list[list[float]], input_: list[float], start: Callable[[list[float]], list[float]]) -> SetExpr:
-    """state' = matrix * state + input * x over the elements {by, smooth} in the order of by; the value is the state's first part.
+def _scan(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Compositions of the affine maps x -> m x + c up to each of them, by doubling: log2(n) steps over the whole batch."""
+    m, c, step = m.copy(), c.copy(), 1
+    while step < len(m):
+        m1, c1 = m[step:], c[step:]
+        c[step:] = np.einsum("nij,nj->ni", m1, c[:-step]) + c1
+        m[step:] = np.einsum("nij,njk->nik", m1, m[:-step])
+        step *= 2
+    return m, c
 
-    start: the state before the first element, from the first two elements. A linear
-    recurrence composes: each range partition is reduced to one affine map in a first
-    pass, the maps are chained on the driver (one row a partition), and a second pass
-    runs every partition from its own start state.
-    """
-    import numpy as np
 
-    from ..scale import stage
+def _recurrence(alg: Algebra, s: SetExpr, matrix: list[list[float]], input_: list[float], start: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> SetExpr:
+    """state' = matrix * state + input * x over the elements {by, smooth} in the order of by (of each key); the value is the state's first part.
 
+    start: the states after first elements x, from x and the elements that follow (nan
+    where none does). A linear recurrence composes: an element is an affine map, a
+    key's first one a constant. A first pass composes the maps of each range partition,
+    these are chained on the driver (one row a partition), and a second pass runs every
+    partition from the state before it. In a batch the maps are composed by doubling.
+    """
     name = f"sm{next(alg.count)}"
     a, u = np.array(matrix, float), np.array(input_, float)
 
     def f(val: Val, ids: list[str]):
         by, x = V.deref(val, "by"), V.as_num(V.deref(val, "smooth"))
+        keys = _keys(ids)
 
         def make(df: DataFrame) -> DataFrame:
-            order = {f"_b{i}": c for i, c in enumerate(sort_columns(by))}
-            order |= {f"_i{i}": F.col(c).cast("string") for i, c in enumerate(ids)}
+            order = {f"_k{i}": F.col(c) for i, c in enumerate(keys)}
+            order |= {f"_b{i}": c for i, c in enumerate(sort_columns(by))}
+            order |= {f"_i{i}": F.col(c).cast("string") for i, c in enumerate(ids) if not is_key(c)}
             rows = df.where(V.defined(by) & x.isNotNull()).select(*ids, x.cast("double").alias(name), *[c.alias(k) for k, c in order.items()])
             n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             parts = stage(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "recurrence")
-            two = [r[0] for r in parts.orderBy(*order).limit(2).select(name).collect()]
-            by_part = parts.repartition(n, "_part").sortWithinPartitions("_part", *order).select(*ids, name, "_part")
+            # Where a part begins and ends, so that its first row knows the key before it and its last row the element behind it.
+            at = F.struct(*order, name)
+            edges = parts.groupBy("_part").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+            along = Window.orderBy("_part")  # one row a part
+            edges = edges.select("_part", F.lag("last").over(along).alias("_before"), F.lead("first").over(along).alias("_behind"))
+            inside = Window.partitionBy("_part").orderBy(*order)
+            own = F.struct(F.lit(0).alias("_"), *[F.col(f"_k{i}") for i in range(len(keys))])
+            key_of = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.lit(0).alias("_"), *[F.col(f"{c}._k{i}") for i in range(len(keys))]))
+            seq = parts.withColumn("_own", own).withColumns({"_pk": F.lag("_own").over(inside), "_nk": F.lead("_own").over(inside), "_nx": F.lead(name).over(inside)}).join(F.broadcast(edges), "_part")
+            first = ~F.coalesce(F.col("_pk"), key_of("_before")).eqNullSafe(F.col("_own"))
+            follows = F.coalesce(F.col("_nk"), key_of("_behind")).eqNullSafe(F.col("_own"))
+            # Plain columns carry the order through the batches: a part is contiguous and sorted within its task.
+            seq = seq.select(*ids, name, "_part", first.alias("_first"), F.when(follows, F.coalesce("_nx", F.col(f"_behind.{name}"))).alias("_next"), *order)
+            seq = seq.sortWithinPartitions("_part", *order).select(*ids, name, "_part", "_first", "_next")
             k, d = len(ids), len(u)
 
+            def states(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                xs, ps, fs, ns = (b.column(k + i).to_numpy(zero_copy_only=False) for i in range(4))
+                m = np.repeat(a[None], len(xs), 0)
+                c = xs[:, None] * u
+                fs = fs.astype(bool)
+                m[fs] = 0.0
+                c[fs] = start(xs[fs], ns[fs].astype(float))
+                return m, c, ps
+
             def maps(frames: Iterator) -> Iterator:
                 import pyarrow as pa
 
                 done: dict[int, tuple] = {}
                 for b in frames:
-                    for v, p in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist()):
-                        m, c = done.get(p, (np.eye(d), np.zeros(d)))
-                        done[p] = (a @ m, a @ c + u * v)
+                    m, c, ps = states(b)
+                    for p in np.unique(ps):
+                        mm, cc = _scan(m[ps == p], c[ps == p])
+                        m0, c0 = done.get(int(p), (np.eye(d), np.zeros(d)))
+                        done[int(p)] = (mm[-1] @ m0, mm[-1] @ c0 + cc[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.int32()), pa.array([m.ravel().tolist() for m, _ in done.values()], pa.list_(pa.float64())), pa.array([c.tolist() for _, c in done.values()], pa.list_(pa.float64()))], names=["part", "m", "c"])
 
-            state, starts = np.array(start(two), float) if two else np.zeros(d), {}
-            for r in sorted(by_part.mapInArrow(maps, "part int, m array<double>, c array<double>").collect()):
+            state, starts = np.zeros(d), {}
+            for r in sorted(seq.mapInArrow(maps, "part int, m array<double>, c array<double>").collect()):
                 starts[r.part] = state
                 state = np.array(r.m).reshape(d, d) @ state + np.array(r.c)
 
@@ -136,13 +182,17 @@ def _recurrence(alg: Algebra, s: SetExpr, matrix: list[list[float]], input_: lis
 
                 cur: dict[int, np.ndarray] = {}
                 for b in frames:
-                    out = []
-                    for v, p in zip(b.column(k).to_pylist(), b.column(k + 1).to_pylist()):
-                        cur[p] = a @ cur.get(p, starts[p]) + u * v
-                        out.append(float(cur[p][0]))
+                    m, c, ps = states(b)
+                    out = np.empty(len(ps))
+                    for p in np.unique(ps):
+                        at = ps == p
+                        mm, cc = _scan(m[at], c[at])
+                        got = mm @ cur.get(int(p), starts[int(p)]) + cc
+                        out[at] = got[:, 0]
+                        cur[int(p)] = got[-1]
                     yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.float64())], names=[*ids, name])
 
-            return by_part.mapInArrow(run, by_part.drop("_part").schema)
+            return seq.mapInArrow(run, seq.select(*ids, name).schema)
 
         return make, V.num(F.col(name))
 
@@ -151,14 +201,14 @@ def _recurrence(alg: Algebra, s: SetExpr, matrix: list[list[float]], input_: lis
 
 def simple_exp_smoothing(alg: Algebra, s: SetExpr, alpha: float) -> SetExpr:
     """s = alpha * x + (1 - alpha) * s before; the first is the first element."""
-    return _recurrence(alg, s, [[1 - alpha]], [alpha], lambda two: [two[0]])
+    return _recurrence(alg, s, [[1 - alpha]], [alpha], lambda x, _: x[:, None])
 
 
 def double_exp_smoothing(alg: Algebra, s: SetExpr, alpha: float, beta: float) -> SetExpr:
     """Level and trend; the first level is x0, the first trend x1 - x0."""
     # level' = alpha x + (1 - alpha)(level + trend); trend' = beta (level' - level) + (1 - beta) trend
     m = [[1 - alpha, 1 - alpha], [beta * (1 - alpha) - beta, beta * (1 - alpha) + 1 - beta]]
-    return _recurrence(alg, s, m, [alpha, alpha * beta], lambda two: [2 * two[0] - two[1], two[1] - two[0]] if len(two) > 1 else [two[0], 0.0])
+    return _recurrence(alg, s, m, [alpha, alpha * beta], lambda x, following: np.stack([x, np.nan_to_num(following - x)], axis=1))
 
 
 def sort_rows(df: DataFrame, v: Val, paths: list[str], descending: bool = False) -> DataFrame:

@@ -74,6 +74,8 @@ def register_reduction(name: str, agg: Callable[[Column], Column], pick: Callabl
 
 def reduce(alg: Algebra, name: str, s: SetExpr) -> SetExpr:
     r = REDUCTIONS[name]
+    if name == "count" and s.distinct_of is not None:  # counted in the aggregation of the set that it is distinct of
+        return alg.reduce(s.distinct_of, F.count_distinct, lambda v: v.col if v.kind in ("num", "str", "bool") else V.json_text(v), r.out, r.empty)
     v = s.val
     out = r.out
     if name in ("min", "max") and v.integral:
@@ -89,17 +91,19 @@ def single_summary(alg: Algebra, s: SetExpr) -> SetExpr:
 
 
 def mode(alg: Algebra, s: SetExpr) -> SetExpr:
-    """The most frequent values, all of them where several are equally frequent."""
+    """The most frequent values (of each key, inside a solve), all of them where several are equally frequent."""
     source = alg.fresh_source()
     cols, val = alg.rebind(s.val, f"md{next(alg.count)}")
+    keys = alg.keys(s)
 
     def build():
-        keyed = alg.rows(s, ids=False).select(V.json_text(s.val).alias(source), *cols)
-        per = keyed.groupBy(source).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in keyed.columns if c != source])
-        most = per.agg(F.max("_n").alias("_most"))
-        return per.join(F.broadcast(most), F.col("_n") == F.col("_most")).drop("_n", "_most")
+        keyed = alg.rows(s, ids=False).select(V.json_text(s.val).alias(source), *keys, *cols)
+        per = keyed.groupBy(*keys, source).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in keyed.columns if c not in (source, *keys)])
+        most = per.groupBy(*keys).agg(F.max("_n").alias("_most"))
+        best = per.join(most, keys) if keys else per.crossJoin(F.broadcast(most))
+        return best.where("_n = _most").drop("_n", "_most")
 
-    return alg.from_frame(build, val, (source,))
+    return alg.from_frame(build, val, (source, *keys))
 
 
 def numeric_leaves(v: Val, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], Column]]:

@@ -11,6 +11,7 @@ operation, a table function or the output.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -55,6 +56,7 @@ class SetExpr:
     seed: int | None = None
     constant_only: bool = False
     theta: "Theta | None" = None
+    distinct_of: "SetExpr | None" = None
 
     def with_val(self, val: Val) -> "SetExpr":
         return SetExpr(self.atoms, val, self.preds)
@@ -89,10 +91,20 @@ class Theta:
 class Group:
     atom: int
     variables: tuple[str, ...]
+    on: tuple[str, ...] = ()  # its variables' columns and those of the solves around
     aggs: list[tuple[str, Column]] = field(default_factory=list)
     agg_atom: int = -1
 
 
+def is_key(source: str) -> bool:
+    """Is an identity column the key of a solve?"""
+    return source.startswith("id_s")
+
+
+def has_date(v: Val) -> bool:
+    return v.kind == "date" or any(has_date(m) for m in [*v.fields.values(), *v.items])
+
+
 @dataclass
 class Table:
     """A named dataset: its DataFrame and, if it has one, its key."""
@@ -130,8 +142,18 @@ class Algebra:
     def sources(self, s: SetExpr) -> tuple[str, ...]:
         return tuple(dict.fromkeys(x for a in sorted(s.atoms) for x in self.atoms[a].sources))
 
-    def frame(self, atoms: frozenset[int], ids: bool = True) -> DataFrame:
-        """The join of the atoms: on common identities, else crossed where a relate or a solve permits it."""
+    def keys(self, s: SetExpr) -> list[str]:
+        """The keys of the solves that a set depends on: whatever is made of the set is made for each of them."""
+        return [x for x in self.sources(s) if is_key(x)]
+
+    def for_keys(self, s: SetExpr, keys: list[str]) -> SetExpr:
+        """s, once for each value of the keys that it doesn't depend on."""
+        missing = set(keys) - set(self.keys(s))
+        atoms = {x.keys_atom for x in self.all_solves if missing & {x.source(v) for v in x.variables}}
+        return SetExpr(s.atoms | atoms, s.val, s.preds) if atoms else s
+
+    def frame(self, atoms: frozenset[int], ids: bool = True, crossed: list | None = None) -> DataFrame:
+        """The join of the atoms: on common identities, else crossed where a relate or a solve permits it. crossed takes the sides of such crosses."""
         todo = [self.atoms[a] for a in sorted(atoms)]
         todo = [a for a in todo if not self._redundant(a, atoms)]
         if not todo:
@@ -140,7 +162,7 @@ class Algebra:
             return todo[0].df(ids)
         todo.sort(key=lambda a: (a.single, a.no))
         have, out = list(todo[0].sources), todo[0].df()
-        rest, weak = todo[1:], []
+        rest = todo[1:]
         while rest:
             nxt = next((a for a in rest if not a.single and set(a.sources) & set(have)), None)
             if nxt is not None:
@@ -153,7 +175,8 @@ class Algebra:
                 else:
                     if not self._related(have, nxt.sources):
                         raise E.OperationOnUnrelatedSets(f"{have} and {list(nxt.sources)}")
-                    weak.append(nxt)
+                    if crossed is not None:
+                        crossed.append((out, nxt.df()))
                     out = out.crossJoin(nxt.df())
             have += [x for x in nxt.sources if x not in have]
             rest.remove(nxt)
@@ -164,7 +187,7 @@ class Algebra:
         return any(a.no == s.keys_atom and len(s.groups) == 1 and not s.constraints and s.groups[0].agg_atom in atoms for s in self.all_solves)
 
     def _related(self, a, b, now: bool = False) -> bool:
-        if any(x.startswith("id_s") for x in (*a, *b)):
+        if any(map(is_key, (*a, *b))):
             return True
         if now:
             return any({x, y} <= r for r in self.relations for x in a for y in b)
@@ -174,7 +197,7 @@ class Algebra:
         """Raise where sets without common identities are combined; what one of the sets joins already may stay joined."""
         groups: list[set[str]] = []
         for s in sets:
-            own = set(self.sources(s))
+            own = {x for x in self.sources(s) if not is_key(x)}  # a key is one value beside the sets of its solve
             if not own:
                 continue
             for g in [g for g in groups if g & own or self._related(g, own, now=True)]:
@@ -198,11 +221,22 @@ class Algebra:
 
     def rows(self, s: SetExpr, ids: bool = True) -> DataFrame:
         """The rows of a set: its frame, filtered to where the value is defined."""
-        df = self.frame(s.atoms, ids)
+        crossed: list = []
+        df = self.frame(s.atoms, ids, crossed)
         cond = V.defined(s.val)
         for p in s.preds:
             cond = cond & p
-        return df.where(cond)
+        out = df.where(cond)
+        if crossed and self._stays_cross(out):
+            for a, b in crossed:
+                self.cross_guard(a, b)
+        return out
+
+    @staticmethod
+    def _stays_cross(df: DataFrame) -> bool:
+        """Does a cross remain in the plan that no equality turned into a join? (Crosses with single rows are broadcast.)"""
+        joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if re.search(r"Join (Cross|Inner)", x)]
+        return any("strategy=broadcast" not in x and " = " not in x for x in joins)
 
     def rebind(self, val: Val, tag: str) -> tuple[list[Column], Val]:
         """Columns that store a value, and the value that reads them back."""
@@ -286,25 +320,39 @@ class Algebra:
     # --- identities ----------------------------------------------------------------------------
 
     def new(self, s: SetExpr) -> SetExpr:
-        """The same values under fresh identities."""
+        """The same values under fresh identities, those of each key by themselves."""
         source = self.fresh_source()
         cols, val = self.rebind(s.val, f"n{next(self.count)}")
-        old = self.sources(s)
+        old, keys = self.sources(s), self.keys(s)
 
         def build() -> DataFrame:
             df = self.rows(s)
             if old:
-                return df.select(F.concat_ws("\x1f", *[F.col(x).cast("string") for x in old]).alias(source), *cols)
+                return df.select(F.concat_ws("\x1f", *[F.col(x).cast("string") for x in old]).alias(source), *keys, *cols)
             return df.select(F.lit("0").alias(source), *cols)
 
-        return SetExpr(frozenset([self.atom((source,), build).no]), val)
+        return SetExpr(frozenset([self.atom((source, *keys), build).no]), val)
 
     def distinct(self, s: SetExpr) -> SetExpr:
-        """The different values, under identities of their own."""
+        """The different values (of each key, inside a solve), under identities of their own.
+
+        Plain columns are compared as they are; only values that hold JSON or arrays are compared as text.
+        """
         source = self.fresh_source()
         cols, val = self.rebind(s.val, f"d{next(self.count)}")
-        build = lambda: self.rows(s, ids=False).select(V.json_text(s.val).alias(source), *cols).dropDuplicates([source])
-        return SetExpr(frozenset([self.atom((source,), build).no]), val)
+        keys = self.keys(s)
+
+        def build() -> DataFrame:
+            rows = self.rows(s, ids=False)
+            plain = rows.select(*keys, *cols)
+            values = [c for c in plain.columns if c not in keys]
+            if values and not has_date(s.val) and all(isinstance(plain.schema[c].dataType, T.AtomicType) and not isinstance(plain.schema[c].dataType, T.VariantType) for c in values):
+                return plain.distinct().withColumn(source, F.to_json(F.struct(*values)))
+            return rows.select(V.json_text(s.val).alias(source), *keys, *cols).dropDuplicates([*keys, source])
+
+        out = SetExpr(frozenset([self.atom((source, *keys), build).no]), val)
+        out.distinct_of = s
+        return out
 
     @contextmanager
     def relate(self, *sets: SetExpr):
@@ -312,7 +360,7 @@ class Algebra:
         pairs = []
         for i, a in enumerate(sets):
             for j, b in enumerate(sets[:i]):
-                sa, sb = self.sources(a), self.sources(b)
+                sa, sb = ([x for x in self.sources(y) if not is_key(x)] for y in (a, b))
                 if set(sa) & set(sb) and j == i - 1:
                     raise E.AlreadyRelatedSets(f"{sa} and {sb}")
                 pairs += [frozenset((x, y)) for x in sa for y in sb if x != y]
@@ -329,16 +377,23 @@ class Algebra:
 
     def _sides(self, a: SetExpr, b: SetExpr, error: type[E.CompileError]):
         sa, sb = self.sources(a), self.sources(b)
-        if len(sa) != len(sb):
-            raise error(f"{len(sa)} and {len(sb)} identities")
+        na, nb = (sum(not is_key(x) for x in y) for y in (sa, sb))
+        if na != nb:
+            raise error(f"{na} and {nb} identities")
         return sa, sb
 
+    def _same_keys(self, a: SetExpr, b: SetExpr) -> tuple[SetExpr, SetExpr]:
+        """Both sets for the same keys of solves."""
+        keys = list(dict.fromkeys([*self.keys(a), *self.keys(b)]))
+        return self.for_keys(a, keys), self.for_keys(b, keys)
+
     def union(self, a: SetExpr, b: SetExpr, error: type[E.CompileError] = E.UnionProvenanceDifferentLength) -> SetExpr:
         """Both sets' elements, as (identity, value) pairs."""
         if a.val.kind == "undef" and not a.atoms:
             return b
         if b.val.kind == "undef" and not b.atoms:
             return a
+        a, b = self._same_keys(a, b)
         sa, sb = self._sides(a, b, error)
         kind, (va, vb) = V.same_kind([a.val, b.val])
         if kind == "obj":
@@ -354,9 +409,9 @@ class Algebra:
         tag = f"u{next(self.count)}"
         ca, out = self.rebind(va, tag)
         cb, _ = self.rebind(vb, tag)
-        same = sa == sb
+        same = set(sa) == set(sb)
         union_source = self.fresh_source()
-        sources = sa if same else (union_source, *sa, *sb)
+        sources = sa if same else tuple(dict.fromkeys((union_source, *sa, *sb)))
 
         def build() -> DataFrame:
             ra, rb = self.rows(a), self.rows(b)
@@ -378,6 +433,7 @@ class Algebra:
         return SetExpr(frozenset([atom.no]), out, constant_only=single)
 
     def _semi(self, a: SetExpr, b: SetExpr, how: str, error, empty) -> SetExpr:
+        a, b = self._same_keys(a, b)
         sa, sb = self._sides(a, b, error)
         if set(sa) != set(sb):
             if not any(x in sb for x in sa):
@@ -416,7 +472,7 @@ class Algebra:
             cond = cond & p
         picked = F.when(cond, pick(s.val))
         name = f"r{next(self.count)}"
-        keys = [x for x in self.sources(s) if x.startswith("id_s")]
+        keys = self.keys(s)
         if not keys:
             no, aggs = self._global(s.atoms)
             aggs.append((name, agg(picked)))
@@ -428,7 +484,7 @@ class Algebra:
             own.aggs.append((name, agg(picked)))
             c = F.col(name)
             return SetExpr(frozenset([own.agg_atom, solve.keys_atom]), out(F.coalesce(c, F.lit(empty)) if empty is not None else c))
-        on = [solve.source(v) for v in solve.variables]
+        on = list(self.atoms[solve.keys_atom].sources)
         t = s.theta
         ordered = t is not None and carry and t.expr.kind in ("num", "date") and solve.kinds[solve.variables[0]].kind == t.expr.kind
 
@@ -436,7 +492,7 @@ class Algebra:
             if ordered:
                 return self._carried(t, carry, pick(t.base.val), name)
             key_df = self.atoms[solve.keys_atom].df()
-            df = self.frame(s.atoms | {solve.keys_atom})
+            df = self.frame(s.atoms if set(on) <= set(keys) else s.atoms | {solve.keys_atom})
             per = df.where(cond).groupBy(*on).agg(agg(picked).alias(name))
             return key_df.select(*on).join(per, on, "left")
 
@@ -532,19 +588,20 @@ class Algebra:
         ids = self.sources(SetExpr(both.atoms, target.val))
         key_cols = {s.source(k): self._key_column(keys[k].val) for k in names}
         outer = [x for x in ids if x not in key_cols]
+        around = [x for x in outer if is_key(x)]
         ready = SetExpr(both.atoms, target.val, (*preds, *[V.defined(keys[k].val) for k in names]))
         plain_ok = all(self.atoms[a].plain is not None for a in both.atoms)
         build = lambda: self.rows(ready).select(*outer, *[c.alias(n) for n, c in key_cols.items()], *cols)
-        plain = (lambda: self.rows(ready, ids=False).select(*[c.alias(n) for n, c in key_cols.items()], *cols)) if plain_ok else None
+        plain = (lambda: self.rows(ready, ids=False).select(*around, *[c.alias(n) for n, c in key_cols.items()], *cols)) if plain_ok else None
         atom = self.atom((*outer, *key_cols), build, plain=plain)
-        g = Group(atom.no, tuple(names))
-        on = [s.source(k) for k in names]
+        g = self._new_group(s, atom, names, around)
+        on = g.on
 
         def agg() -> DataFrame:
             df = self.atoms[g.atom].df(ids=False) if plain else self.atoms[g.atom].df()
             return df.groupBy(*on).agg(*[c.alias(n) for n, c in g.aggs]) if g.aggs else df.select(*on).distinct()
 
-        g.agg_atom = self.atom(tuple(on), agg).no
+        g.agg_atom = self.atom(on, agg).no
         s.groups.append(g)
         return SetExpr(frozenset([atom.no]), val)
 
@@ -571,18 +628,25 @@ class Algebra:
             rows = self.rows(both.with_val(target.val)).select(*outer, *cols, F.explode(F.array_distinct(F.array_compact(F.array(*ways)))).alias(tag))
             return rows.select("*", f"{tag}.*").drop(tag)
 
-        on = [s.source(k) for k in names]
-        atom = self.atom((*outer, *on), build)
-        g = Group(atom.no, tuple(names))
+        around = [x for x in outer if is_key(x)]
+        atom = self.atom((*outer, *[s.source(k) for k in names]), build)
+        g = self._new_group(s, atom, names, around)
+        on = g.on
 
         def agg() -> DataFrame:
             df = self.atoms[g.atom].df()
             return df.groupBy(*on).agg(*[c.alias(n) for n, c in g.aggs]) if g.aggs else df.select(*on).distinct()
 
-        g.agg_atom = self.atom(tuple(on), agg).no
+        g.agg_atom = self.atom(on, agg).no
         s.groups.append(g)
         return SetExpr(frozenset([atom.no]), val)
 
+    def _new_group(self, s: Solve, atom: Atom, names: list[str], around: list[str]) -> Group:
+        """A group by its own variables and the keys of the solves around, on which the solve's keys then depend too."""
+        keys = self.atoms[s.keys_atom]
+        keys.sources = (*keys.sources, *[x for x in around if x not in keys.sources])
+        return Group(atom.no, tuple(names), (*around, *[s.source(k) for k in names]))
+
     def constrain(self, s: Solve, keys: dict[str, SetExpr], extra: list[SetExpr] | None = None) -> None:
         """Restrict the keys to the values of other sets."""
         both = self.combine([*keys.values(), *(extra or [])], lambda v, *_: v)
@@ -595,16 +659,17 @@ class Algebra:
 
     def _key_frame(self, s: Solve) -> DataFrame:
         """The keys: those of every group and constraint at once."""
-        parts = [(g.variables, self.atoms[g.agg_atom].df()) for g in s.groups] + [(v, f()) for v, f in s.constraints]
-        bound = {v for vs, _ in parts for v in vs}
+        parts = [(g.on, self.atoms[g.agg_atom].df()) for g in s.groups] + [(tuple(s.source(x) for x in v), f()) for v, f in s.constraints]
+        bound = {x for on, _ in parts for x in on}
         for v in s.variables:
-            if v not in bound:
+            if s.source(v) not in bound:
                 raise E.UnableToSolveTicVariable(v)
         out, have = None, set()
-        for vs, df in parts:
-            on = [s.source(v) for v in vs]
+        for on, df in parts:
             df = df.select(*on)
             shared = [x for x in on if x in have]
+            if out is not None and not shared:
+                self.cross_guard(out, df)
             out = df if out is None else out.join(df, shared, "inner") if shared else out.crossJoin(df)
             have |= set(on)
         return out
@@ -618,20 +683,21 @@ class Algebra:
         cols, val = self.rebind(body.val, f"v{next(self.count)}")
         ready = SetExpr(atoms, body.val, body.preds)
         ids = self.sources(ready)
+        around = [x for x in ids if is_key(x) and not x.startswith(f"id_s{s.no}_")]
 
         def build() -> DataFrame:
             df = self.rows(ready)
-            return df.select(F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ids]).alias(source), *cols)
+            return df.select(F.concat_ws("\x1f", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ids]).alias(source), *around, *cols)
 
         plain = None
         if len(s.groups) == 1 and not s.constraints:
-            plain = lambda: self.rows(ready).select(*cols)
-        return SetExpr(frozenset([self.atom((source,), build, plain=plain).no]), val)
+            plain = lambda: self.rows(ready).select(*around, *cols)
+        return SetExpr(frozenset([self.atom((source, *around), build, plain=plain).no]), val)
 
     # --- table functions ---------------------------------------------------------------------------
 
     def morph(self, s: SetExpr, f: Callable[[DataFrame, dict[str, str], list[str]], tuple[DataFrame, Callable[[], Val]]], extra_sources: tuple[str, ...] = ()) -> SetExpr:
-        """A function of a whole set that keeps its identities.
+        """A function of a whole set, or of the set of each key, that keeps its identities.
 
         f gets the rows with their value in columns, the identity columns, and gives rows
         with the identity columns (and extra_sources) and a maker of the new value.

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import errors as E
 from ..functions import values as V
 from ..functions.values import Val
-from ..scale import discard, stage
+from ..scale import discard, skew_join, stage
 from .reductions import numeric_leaves, rebuild
 from .sets import Algebra, SetExpr
 
@@ -87,16 +88,16 @@ def _features(alg: Algebra, y: SetExpr, features: SetExpr) -> tuple[SetExpr, lis
     return alg.combine([y, features], f), paths
 
 
-def _moments(df: DataFrame, cols: list[Column]) -> np.ndarray:
-    """Sums of all products of the columns and 1: one aggregate row, whatever the number of rows."""
+def _moments(cols: list[Column]) -> list[Column]:
+    """Sums of all products of the columns and 1: one row of aggregates, whatever the number of rows."""
     full = [*cols, F.lit(1.0)]
     n = len(full)
-    row = df.agg(*[F.sum(full[i] * full[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)]).collect()[0]
-    m = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i, n):
-            m[i, j] = m[j, i] = row[f"m{i}_{j}"] or 0.0
-    return m
+    return [F.sum(full[i] * full[j]).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)]
+
+
+def _matrix(row, n: int, tag: str = "m") -> np.ndarray:
+    at = lambda i, j: row[f"{tag}{min(i, j)}_{max(i, j)}"]
+    return np.array([[0.0 if at(i, j) is None or np.isnan(at(i, j)) else at(i, j) for j in range(n)] for i in range(n)])
 
 
 def _independent(m: np.ndarray) -> list[int]:
@@ -112,17 +113,35 @@ def _independent(m: np.ndarray) -> list[int]:
     return keep
 
 
-def _one_row(alg: Algebra, make: Callable[[], dict[str, float | None]], names: list[str], shape: Callable[[Callable[[str], Val]], Val]) -> SetExpr:
-    """A set of one row that is computed when it is needed."""
+def _model(alg: Algebra, s: SetExpr, names: list[str], shape: Callable[[Callable[[str], Val]], Val], fit: Callable[[DataFrame, list[str], str], DataFrame]) -> SetExpr:
+    """A set of one model, or of one for each key inside a solve.
+
+    fit: from the rows (key columns and the value's members by name), the key columns
+    and a prefix of names to one row a key with the key columns and the prefixed names.
+    """
     tag = f"md{next(alg.count)}_"
+    keys = alg.keys(s)
 
     def build() -> DataFrame:
-        got = make()
-        schema = T.StructType([T.StructField(tag + n, T.DoubleType()) for n in names])
-        row = tuple(None if got.get(n) is None or not np.isfinite(got[n]) else float(got[n]) for n in names)
-        return alg.spark.createDataFrame([row], schema)
+        rows = alg.rows(s, ids=False).select(*keys, *[m.col.alias(k) for k, m in s.val.fields.items()])
+        got = fit(rows, keys, tag)
+        return got.select(*keys, *[F.when(~F.isnan(tag + n) & (F.abs(tag + n) != float("inf")), F.col(tag + n)).alias(tag + n) for n in names])
+
+    return alg.from_frame(build, shape(lambda n: V.num(F.col(tag + n))), tuple(keys), single=not keys)
+
+
+def _per_row(sums: DataFrame, keys: list[str], tag: str, names: list[str], solve: Callable[[dict], dict]) -> DataFrame:
+    """solve, applied to each row of aggregates (one a key) where it lies."""
+    kept = [f for f in sums.schema.fields if f.name in keys]
+    schema = T.StructType([*kept, *[T.StructField(tag + n, T.DoubleType()) for n in names]])
 
-    return alg.from_frame(build, shape(lambda n: V.num(F.col(tag + n))), single=True)
+    def run(frames):
+        for pdf in frames:
+            rows = [solve(r) for r in pdf.to_dict("records")]
+            out = {tag + n: pd.Series([r.get(n) for r in rows], dtype="float64") for n in names}
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, **out})
+
+    return sums.mapInPandas(run, schema)
 
 
 def _loose(v: Val) -> Val:
@@ -132,14 +151,12 @@ def _loose(v: Val) -> Val:
 
 
 def linear_regression(alg: Algebra, y: SetExpr, features: SetExpr) -> SetExpr:
-    """Least squares with standard errors, from one pass of moments."""
+    """Least squares with standard errors, from one pass of moments (of each key, inside a solve)."""
     s, paths = _features(alg, y, features)
     d = len(paths)
 
-    def make() -> dict:
-        cols = [F.col(f"x{i}") for i in range(d)]
-        df = alg.rows(s, ids=False).select(*[m.col.alias(k) for k, m in s.val.fields.items()])
-        m = _moments(df, [*cols, F.col("y")])
+    def solve(row: dict) -> dict:
+        m = _matrix(row, d + 2)
         at = [*range(d), d + 1]  # features, constant
         xtx, xty, yy, n, sy = m[np.ix_(at, at)], m[at, d], m[d, d], m[d + 1, d + 1], m[d, d + 1]
         keep = sorted(_independent(xtx)) if n else []
@@ -158,6 +175,10 @@ def linear_regression(alg: Algebra, y: SetExpr, features: SetExpr) -> SetExpr:
                 out[f"v{i}_{j}"] = sigma2 * inv[a, b]
         return out
 
+    def fit(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+        sums = rows.groupBy(*keys).agg(*_moments([*[F.col(f"x{i}") for i in range(d)], F.col("y")]))
+        return _per_row(sums, keys, tag, names, solve)
+
     names = ["r2", "rse", "dof", *[f"{k}{i}" for i in range(d + 1) for k in "be"], *[f"v{i}_{j}" for i in range(d + 1) for j in range(d + 1)]]
 
     def shape(c: Callable[[str], Val]) -> Val:
@@ -170,7 +191,7 @@ def linear_regression(alg: Algebra, y: SetExpr, features: SetExpr) -> SetExpr:
             "residualStandardError": _loose(V.obj({"estimate": c("rse"), "degreesOfFreedom": c("dof")})),
         }))}))
 
-    return _one_row(alg, make, names, shape)
+    return _model(alg, s, names, shape, fit)
 
 
 def _loose_tree(v: Val) -> Val:
@@ -180,38 +201,53 @@ def _loose_tree(v: Val) -> Val:
 
 
 def logistic_regression(alg: Algebra, y: SetExpr, features: SetExpr) -> SetExpr:
-    """Coefficients of P(y = 1) = 1 / (1 + exp(+z)): the usual ones with their signs turned. Newton's method on aggregated moments."""
+    """Coefficients of P(y = 1) = 1 / (1 + exp(+z)): the usual ones with their signs turned (of each key, inside a solve).
+
+    Newton's method on aggregated moments; every round is one aggregation over all
+    rows, joined with the coefficients of the round before, one row a key.
+    """
     s, paths = _features(alg, y, features)
     d = len(paths)
-
-    def make() -> dict:
-        df = alg.rows(s, ids=False).select(*[m.col.alias(k) for k, m in s.val.fields.items()]).where("y in (0, 1)").persist()
-        beta = np.zeros(d + 1)
+    names = [f"b{i}" for i in range(d + 1)]
+
+    def step(row: dict) -> dict:
+        beta = np.array([row[f"b{i}"] for i in range(d + 1)])
+        g = np.array([row[f"g{i}"] or 0.0 for i in range(d + 1)])
+        h = _matrix(row, d + 1, "h")
+        move = np.linalg.solve(h + 1e-9 * (np.trace(h) / (d + 1) + 1e-12) * np.eye(d + 1), g)
+        norm = np.abs(move).max()
+        beta = beta + (move if norm < 5 else move * 5 / norm)
+        return {**{f"b{i}": b for i, b in enumerate(beta)}, "more": float(not (norm < 1e-9 or np.abs(beta).max() > 1e4))}
+
+    def fit(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+        rows = stage(rows.where("y in (0, 1)"), "labelled")
         x = [*[F.col(f"x{i}") for i in range(d)], F.lit(1.0)]
+        z = sum((F.col(b) * c for b, c in zip(names, x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-z))
+        w = p * (1 - p)
+        sums = [
+            *[F.sum(c * (F.col("y") - p)).alias(f"g{i}") for i, c in enumerate(x)],
+            *[F.sum(x[i] * x[j] * w).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i, d + 1)],
+        ]
+        beta = rows.select(*keys).distinct() if keys else alg.spark.range(1).select()
+        beta = stage(beta.withColumns({**{b: F.lit(0.0) for b in names}, "more": F.lit(1.0)}), "beta")
         for _ in range(NEWTON_ROUNDS):
-            z = sum((float(b) * c for b, c in zip(beta, x)), F.lit(0.0))
-            p = 1 / (1 + F.exp(-z))
-            w = p * (1 - p)
-            row = df.agg(
-                *[F.sum(c * (F.col("y") - p)).alias(f"g{i}") for i, c in enumerate(x)],
-                *[F.sum(x[i] * x[j] * w).alias(f"h{i}_{j}") for i in range(d + 1) for j in range(i, d + 1)],
-            ).collect()[0]
-            g = np.array([row[f"g{i}"] or 0.0 for i in range(d + 1)])
-            h = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(d + 1)] for i in range(d + 1)])
-            step = np.linalg.solve(h + 1e-9 * (np.trace(h) / (d + 1) + 1e-12) * np.eye(d + 1), g)
-            norm = np.abs(step).max()
-            beta = beta + (step if norm < 5 else step * 5 / norm)
-            if norm < 1e-9 or np.abs(beta).max() > 1e4:
+            at = skew_join(rows, beta.where("more = 1"), keys, "inner") if keys else rows.crossJoin(F.broadcast(beta))
+            nxt = _per_row(at.groupBy(*keys, *names).agg(*sums), keys, "", [*names, "more"], step)
+            nxt = stage(nxt.unionByName(beta.where("more = 0")) if keys else nxt, "beta")
+            discard(beta)
+            beta = nxt
+            if beta.where("more = 1").isEmpty():
                 break
-        df.unpersist()
-        return {f"b{i}": -b for i, b in enumerate(beta)}
+        discard(rows)
+        return beta.select(*keys, *[(-F.col(b)).alias(tag + b) for b in names])
 
     def shape(c: Callable[[str], Val]) -> Val:
         est = lambda i: V.obj({"estimate": c(f"b{i}")})
         tree = rebuild({p: est(i) for i, p in enumerate(paths)})
         return V.obj({"model1": V.obj({"coefficients": Val("arr", items=[tree, est(d)], inner=True)})})
 
-    return _one_row(alg, make, [f"b{i}" for i in range(d + 1)], shape)
+    return _model(alg, s, names, shape, fit)
 
 
 def _at(v: Val, path: tuple[str, ...]) -> Val:
@@ -287,7 +323,7 @@ def predict_logistic(alg: Algebra, features: SetExpr, model: SetExpr) -> SetExpr
 
 
 def k_medians(alg: Algebra, features: SetExpr, k: int) -> SetExpr:
-    """{model1: {cluster1..k: centre}}: centres are points of the set, by weighted farthest-first traversal over all rows.
+    """{model1: {cluster1..k: centre}}: centres are points of the set, by weighted farthest-first traversal over all rows (of each key, inside a solve).
 
     Repeats are counted first; then each centre is one pass over the different points
     that keeps only the farthest. Ties go to the least hash, so every run takes the same.
@@ -295,30 +331,31 @@ def k_medians(alg: Algebra, features: SetExpr, k: int) -> SetExpr:
     leaves = numeric_leaves(features.val)
     paths = [p for p, _ in leaves]
     d = len(paths)
-
-    def make() -> dict:
-        cols = [c.cast("double").alias(f"x{i}") for i, (_, c) in enumerate(leaves)]
-        df = alg.rows(SetExpr(features.atoms, features.val, features.preds), ids=False).select(*cols).dropna()
-        names = df.columns
-        points = stage(df.groupBy(*names).agg(F.count("*").alias("w")).withColumn("h", F.xxhash64(*names)), "points")
-        at: list[tuple[float, ...]] = []
-        while len(at) < k:
-            far = F.col("w").cast("double")
-            if at:
-                from_each = [F.sqrt(sum(((F.col(n) - F.lit(v)) * (F.col(n) - F.lit(v)) for n, v in zip(names, c)), F.lit(0.0))) for c in at]
-                far = (F.least(*from_each) if len(at) > 1 else from_each[0]) * F.sqrt("w")
-            # ~h turns the order of the hashes round without overflow
-            top = points.agg(F.max(F.struct(far.alias("far"), F.bitwise_not("h").alias("h"), *names)).alias("m")).collect()[0]["m"]
-            if top is None or not top["far"] > 0:  # every point is a centre
-                break
-            at.append(tuple(top[n] for n in names))
-        discard(points)
-        return {f"c{a}_{i}": c[i] for a, c in enumerate(at) for i in range(d)}
+    xs = [f"x{i}" for i in range(d)]
+    s = SetExpr(features.atoms, Val("obj", fields={x: V.num(c.cast("double"), dirty=True) for x, (_, c) in zip(xs, leaves)}, inner=True), features.preds)
+
+    def fit(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+        points = rows.groupBy(*keys, *xs).agg(F.count("*").alias("w"))
+        points = stage(points.withColumn("h", F.xxhash64(*xs)), "points")
+        point = F.struct(*xs)
+        # ~h turns the order of the hashes round without overflow
+        take = lambda far: F.max(F.struct(far.alias("far"), F.bitwise_not("h").alias("h"), point.alias("p"))).alias("m")
+        state = stage(points.groupBy(*keys).agg(take(F.col("w").cast("double"))).select(*keys, F.array("m.p").alias("at")), "centres")
+        for _ in range(k - 1):
+            seen = skew_join(points, state, keys, "inner") if keys else points.crossJoin(F.broadcast(state))
+            apart = lambda c: F.sqrt(sum(((F.col(x) - c[x]) * (F.col(x) - c[x]) for x in xs), F.lit(0.0)))
+            far = F.array_min(F.transform("at", apart)) * F.sqrt("w")
+            best = seen.groupBy(*keys).agg(take(far)).select(*keys, F.when(F.col("m.far") > 0, F.array("m.p")).otherwise(F.array().cast(state.schema["at"].dataType)).alias("_new"))
+            nxt = state.join(best, keys) if keys else state.crossJoin(F.broadcast(best))
+            nxt = stage(nxt.select(*keys, F.concat("at", "_new").alias("at")), "centres")
+            discard(state)
+            state = nxt
+        return state.select(*keys, *[F.get("at", F.lit(a))[x].alias(f"{tag}c{a}_{i}") for a in range(k) for i, x in enumerate(xs)])
 
     def shape(c: Callable[[str], Val]) -> Val:
         return _loose(V.obj({"model1": _loose(V.obj({f"cluster{a + 1}": rebuild({p: c(f"c{a}_{i}") for i, p in enumerate(paths)}) for a in range(k)}))}))
 
-    return _one_row(alg, make, [f"c{a}_{i}" for a in range(k) for i in range(d)], shape)
+    return _model(alg, s, [f"c{a}_{i}" for a in range(k) for i in range(d)], shape, fit)
 
 
 def assign_clusters(alg: Algebra, features: SetExpr, model: SetExpr) -> SetExpr:
@@ -346,6 +383,8 @@ def random_forest(alg: Algebra, training: SetExpr, data: SetExpr, classify: bool
 
     The forest is grown on FOREST_ROWS rows at most, those with the least hashes; all of data is scored.
     """
+    if alg.keys(training):
+        raise E.CompileError("a forest can't be grown for each key of a solve; grow it outside")
     tp, td = V.deref(training.val, "predictors"), V.deref(training.val, "dependent")
     paths = [p for p, _ in numeric_leaves(tp)]
     name = f"rf{next(alg.count)}"

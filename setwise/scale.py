@@ -110,29 +110,32 @@ def key_text(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^[\s ﻿]+|[\s ﻿]+$", ""))
 
 
-def prefix(df: DataFrame, order: list[Column], aggs: dict[str, tuple[str, Column]], parts: int | None = None) -> DataFrame:
-    """df with running aggregates in a total order, without a single-partition window.
+def prefix(df: DataFrame, order: list[Column], aggs: dict[str, tuple[str, Column]], parts: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """df with running aggregates in a total order, without a single-partition window; by: in the order of each key by itself.
 
     aggs: new column -> (function, column), function one of sum, count, max, min; each
-    holds the aggregate of all rows strictly before the row in the order (null, or 0
-    for sum and count, for the first). Rows are range-partitioned once and staged;
-    the parts' totals, one row a part, are the only thing that is ordered globally.
+    holds the aggregate of all rows (of the key) strictly before the row in the order
+    (null, or 0 for sum and count, for the first). Rows are range-partitioned once, by
+    key and order, and staged; a key may hold any share of them. What is carried over
+    are the totals of keys that began in an earlier part: fewer than two rows a part.
     `order` are plain columns, ascending with nulls first (negate numbers to descend).
     Ties in it get an arbitrary but fixed order; make it total where that matters.
     """
     spark = df.sparkSession
+    by = by or []
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cols = {f"_o{i}": o for i, o in enumerate(order)}
     vals = {f"_v_{k}": v for k, (_, v) in aggs.items()}
-    keyed = df.withColumns({**cols, **vals}).repartitionByRange(n, *cols).withColumn("_part", F.spark_partition_id())
+    keyed = df.withColumns({**cols, **vals}).repartitionByRange(n, *by, *cols).withColumn("_part", F.spark_partition_id())
     keyed = stage(keyed, "prefix")
     fn = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
-    totals = keyed.groupBy("_part").agg(*[fn[f](f"_v_{k}").alias(f"_t_{k}") for k, (f, _) in aggs.items()])
+    totals = keyed.groupBy("_part", *by).agg(*[fn[f](f"_v_{k}").alias(f"_t_{k}") for k, (f, _) in aggs.items()])
     merge = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_part", *[merge[f](f"_t_{k}").over(earlier).alias(f"_b_{k}") for k, (f, _) in aggs.items()])
-    inside = Window.partitionBy("_part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.withColumns({f"_w_{k}": fn[f](f"_v_{k}").over(inside) for k, (f, _) in aggs.items()}).join(F.broadcast(totals), "_part")
+    earlier = Window.partitionBy(*by).orderBy("_part")
+    totals = totals.withColumn("_nth", F.row_number().over(earlier))
+    totals = totals.select("_part", *by, "_nth", *[merge[f](f"_t_{k}").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_b_{k}") for k, (f, _) in aggs.items()]).where("_nth > 1").drop("_nth")
+    inside = Window.partitionBy("_part", *by).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.withColumns({f"_w_{k}": fn[f](f"_v_{k}").over(inside) for k, (f, _) in aggs.items()}).join(F.broadcast(totals), ["_part", *by], "left")
     for k, (f, _) in aggs.items():
         a, b = F.col(f"_b_{k}"), F.col(f"_w_{k}")
         both = {"sum": F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "count": F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest(a, b), "min": F.least(a, b)}[f]
