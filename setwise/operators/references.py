@@ -61,7 +61,7 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: list[str], match: st
     return out.select("_row.*", "kind")
 
 
-def platform_references(api_keys: DataFrame, job_messages: DataFrame, job_statuses: DataFrame, scheduled_tasks: DataFrame) -> DataFrame:
+def declared_references(api_keys: DataFrame, job_messages: DataFrame, job_statuses: DataFrame, scheduled_tasks: DataFrame) -> DataFrame:
     """(ref_table, row_id, target, target_key, at) of every non-null reference; target is the kind of record it names."""
 
     def refs(df: DataFrame, name: str, target: str, row_id: str, key, at: str) -> DataFrame:
@@ -76,7 +76,7 @@ def platform_references(api_keys: DataFrame, job_messages: DataFrame, job_status
     )
 
 
-def platform_targets(grants: DataFrame, jobs: DataFrame, api_keys: DataFrame) -> DataFrame:
+def declared_targets(grants: DataFrame, jobs: DataFrame, api_keys: DataFrame) -> DataFrame:
     """(target, target_key, created_at, removed_at) of all grants, jobs and API keys, a removal in a further row included."""
     one = lambda df, name, key: df.select(F.lit(name).alias("target"), key_text(F.col(key)).alias("target_key"), "created_at", "removed_at")
     return one(grants, "grant", "grant_id").unionByName(one(jobs, "job", "job_id")).unionByName(one(api_keys, "key", "api_key"))
@@ -84,8 +84,8 @@ def platform_targets(grants: DataFrame, jobs: DataFrame, api_keys: DataFrame) ->
 
 def orphan_references(api_keys: DataFrame, job_messages: DataFrame, job_statuses: DataFrame, scheduled_tasks: DataFrame, grants: DataFrame, jobs: DataFrame) -> DataFrame:
     """(ref_table, row_id, target_key, kind, period), distinct: the references whose target does not exist at their time."""
-    refs = platform_references(api_keys, job_messages, job_statuses, scheduled_tasks)
-    found = find_orphans(refs, platform_targets(grants, jobs, api_keys), ["target", "target_key"], "simple", "at")
+    refs = declared_references(api_keys, job_messages, job_statuses, scheduled_tasks)
+    found = find_orphans(refs, declared_targets(grants, jobs, api_keys), ["target", "target_key"], "simple", "at")
     return found.select("ref_table", "row_id", "target_key", "kind", F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
 

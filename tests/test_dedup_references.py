@@ -82,7 +82,7 @@ def test_life_times(spark):
     assert got == {1: "late", 3: "deleted", 5: "missing", 6: "late"}
 
 
-def test_platform_tables(spark):
+def test_declared_tables(spark):
     keys = spark.createDataFrame([("K", ["G1 ", None, "g1", "gone", ""], T, None)], "api_key string, grants array<string>, created_at timestamp, removed_at timestamp")
     msgs = spark.createDataFrame([(1, " J\n", T), (2, None, T), (3, "", T)], "message_id bigint, job_id string, sent_at timestamp")
     stats = spark.createDataFrame([(1, "j", T - H), (1, "j", T - H)], "status_id bigint, job_id string, reported_at timestamp")
