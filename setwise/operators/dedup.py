@@ -7,15 +7,17 @@ in place: a row stays if its bit is set. No payload column is ever shuffled.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scale import stage
+from ..scale import shared_dir, stage, staged_at
 from .incremental import message_offset
 
 #: Rows of a file that share one bitmap (Spark's bitmap functions fix it).
 BLOCK = 32_768
-#: Bitmaps of 4 KB each that one broadcast may hold (64 MB, over 500 million rows).
+#: Bitmaps of 4 KB each that one broadcast may hold (64 MB, over 500 million rows); files beyond it form further groups.
 BROADCAST_BITMAPS = 16_384
 
 
@@ -58,36 +60,54 @@ def winners(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def _bit() -> Column:
     """Is the row's bit set in _bits?"""
     at = (F.col("_row") % BLOCK).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.ascii(F.decode(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
     return F.coalesce(F.bit_get(byte, at % 8) == 1, F.lit(False))
 
 
-def apply_winners(payload: DataFrame, bitmaps: DataFrame, surplus: bool = False) -> DataFrame:
-    """The rows of payload (with _file and _row) whose bit is set, or, with surplus, is not.
+def file_groups(bitmaps: DataFrame) -> int:
+    """The number of hash classes of files at which each class's bitmaps fit one broadcast (or the class is a single file)."""
+    groups = 1
+    while True:
+        per = bitmaps.groupBy(F.pmod("_file", F.lit(groups))).agg(F.count("*").alias("n"), F.countDistinct("_file").alias("files"))
+        if per.where((F.col("n") > BROADCAST_BITMAPS) & (F.col("files") > 1)).isEmpty():
+            return groups
+        groups *= 2
 
-    bitmaps: staged. Up to BROADCAST_BITMAPS they are broadcast; beyond that the
-    payload's positions are joined by shuffle, or better: use write_deduplicated,
-    which goes file group by file group.
-    """
-    side = F.broadcast(bitmaps) if bitmaps.limit(BROADCAST_BITMAPS + 1).count() <= BROADCAST_BITMAPS else bitmaps
+
+def _marked(payload: DataFrame, bitmaps: DataFrame, surplus: bool) -> DataFrame:
     at = payload.withColumn("_block", F.floor(F.col("_row") / BLOCK).cast("bigint"))
-    joined = at.join(side, ["_file", "_block"], "left")
+    joined = at.join(F.broadcast(bitmaps), ["_file", "_block"], "left")
     return joined.where(~_bit() if surplus else _bit()).drop("_file", "_row", "_block", "_bits")
 
 
-def write_deduplicated(payload: DataFrame, bitmaps: DataFrame, out: str) -> int:
-    """Write the winners to `out` in groups of files whose bitmaps fit one broadcast each; returns the number of groups.
+def write_deduplicated(payload: DataFrame, bitmaps: DataFrame, out: str, surplus: bool = False) -> int:
+    """Write the winners to `out`, file group by file group; returns the number of groups.
 
-    For tables beyond the broadcast bound: groups are hash classes of files, each
-    written by a job of its own that reads only the files of the group.
+    Groups are hash classes of files; each is written by a job of its own, which reads
+    only the files of the group (the class is a filter on the path, so other files are
+    not opened) and broadcasts only their bitmaps.
     """
-    groups = max(1, -(-bitmaps.count() // (BROADCAST_BITMAPS // 2)))
+    groups = file_groups(bitmaps)
     for g in range(groups):
         part = F.pmod("_file", F.lit(groups)) == g
-        apply_winners(payload.where(part), stage(bitmaps.where(part), "bitmaps")).write.mode("overwrite" if g == 0 else "append").parquet(out)
+        _marked(payload.where(part), bitmaps.where(part), surplus).write.mode("overwrite" if g == 0 else "append").parquet(out)
     return groups
 
 
+def apply_winners(payload: DataFrame, bitmaps: DataFrame, surplus: bool = False) -> DataFrame:
+    """The rows of payload (with _file and _row) whose bit is set, or, with surplus, is not.
+
+    bitmaps: staged. A row meets its bitmap where its file is read, whatever the number
+    of rows: where the bitmaps of all files don't fit one broadcast, the result is
+    written file group by file group to the shared folder. No payload is shuffled.
+    """
+    if file_groups(bitmaps) == 1:
+        return _marked(payload, bitmaps, surplus)
+    out = f"{shared_dir(payload.sparkSession)}/staged/groups-{uuid.uuid4().hex}"
+    write_deduplicated(payload, bitmaps, out, surplus)
+    return staged_at(payload.sparkSession, out)
+
+
 def message_winners(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(positions, bitmaps): the relay events with their positions, and the staged bitmaps of the one delivery of each message to keep.
 

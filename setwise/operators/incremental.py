@@ -9,14 +9,16 @@ commits the merged intervals together with the run's output.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..scale import _delete, skew_join, stage
+from ..manifest import Manifest
+from ..scale import _delete, discard, prefix, skew_join, stage
 
-#: Sequence numbers per work unit: intervals are cut at multiples of it, so no group of gaps outgrows a bucket.
-BUCKET = 32_768
+#: Sequence numbers per work unit: gaps are kept per bucket, so no group of them outgrows half of it.
+BUCKET = 4_096
 
 
 def to_intervals(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -27,7 +29,7 @@ def to_intervals(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
     Null keys or numbers are skipped; repeats don't matter.
     """
     distinct = rows.select(*keys, F.col(seq).cast("bigint").alias("_s")).dropna().distinct()
-    bucket = F.floor(F.col("_s") / BUCKET).alias("_b")
+    bucket = bucket_of(F.col("_s")).alias("_b")
     w = Window.partitionBy(*keys, "_b").orderBy("_s")
     runs = (
         distinct.select("*", bucket)
@@ -40,61 +42,68 @@ def to_intervals(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
 
 
 def merge_intervals(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of possibly overlapping or adjoining intervals (keys, lo, hi), as disjoint ones; empty ones (hi < lo) vanish."""
-    w = Window.partitionBy(*keys).orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        intervals.where("lo <= hi")
-        .withColumn("_new", F.when(reach.isNull() | (F.col("lo") > reach + 1), 1).otherwise(0))
-        .withColumn("_g", F.sum("_new").over(w))
-        .groupBy(*keys, "_g")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .drop("_g")
-    )
+    """Union of possibly overlapping or adjoining intervals (keys, lo, hi), as disjoint ones; empty ones (hi < lo) vanish.
+
+    The greatest end before each interval, and the number of intervals that begin
+    anew, are running aggregates (scale.prefix), so a key may hold any share of them.
+    """
+    some = intervals.where("lo <= hi").select(*keys, "lo", "hi")
+    reach = prefix(some, [F.col("lo"), F.col("hi")], {"_reach": ("max", F.col("hi"))}, by=keys)
+    fresh = reach.select(*keys, "lo", "hi", F.when(F.col("_reach").isNull() | (F.col("lo") > F.col("_reach") + 1), 1).otherwise(0).alias("_new"))
+    nth = prefix(fresh, [F.col("lo"), F.col("hi"), -F.col("_new")], {"_before": ("sum", F.col("_new"))}, by=keys)
+    return nth.groupBy(*keys, (F.col("_before") + F.col("_new")).alias("_g")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g")
 
 
 def gaps(rows: DataFrame, committed: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Available ranges minus committed intervals, per bucket: (keys, _bucket, gaps array<struct<lo,hi>>).
 
-    Available is, per key and bucket, the range from the least to the greatest
-    number present. committed: (keys, lo, hi), disjoint per key. A bucket that is
-    wholly taken in has an empty array. The group that is folded is one bucket of
-    one key, so it holds at most BUCKET / 2 intervals.
+    Available is, per key and bucket that occurs, the range from the least to the
+    greatest number present. committed: (keys, lo, hi), disjoint per key. A bucket
+    that is wholly taken in has an empty array. An interval meets the buckets of its
+    two ends by their numbers, and those it covers by a running maximum over the
+    buckets that occur, so far-off numbers cost no more than near ones. The group
+    that is folded is one bucket of one key: at most BUCKET / 2 intervals.
     """
     avail = (
         rows.select(*keys, F.col(seq).cast("bigint").alias("_s"))
         .dropna(subset=[*keys, "_s"])
-        .groupBy(*keys, F.floor(F.col("_s") / BUCKET).alias("_bucket"))
+        .groupBy(*keys, bucket_of(F.col("_s")).alias("_bucket"))
         .agg(F.min("_s").alias("_from"), F.max("_s").alias("_to"))
     )
-    span = avail.groupBy(*keys).agg(F.min("_from").alias("_min"), F.max("_to").alias("_max"))
-    pieces = (
-        committed.join(span, keys)
-        .select(*keys, F.greatest("lo", "_min").alias("lo"), F.least("hi", "_max").alias("hi"))
-        .where("lo <= hi")
-        .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("lo") / BUCKET), F.floor(F.col("hi") / BUCKET))))
-    )
-    taken = pieces.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_taken"))
-    start = F.struct(F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("out"), F.col("_from").alias("next"))
+    avail = stage(avail, "available")
+    done = committed.where("lo <= hi").select(*keys, "lo", "hi", bucket_of(F.col("lo")).alias("_first"), bucket_of(F.col("hi")).alias("_last"))
+    # A bucket is covered where an interval that begins in an earlier bucket ends in a later one.
+    line = avail.select(*keys, F.col("_bucket").alias("_at"), F.lit(0).alias("_tag"), F.lit(None).cast("bigint").alias("_last"))
+    line = line.unionByName(done.where("_last - _first > 1").select(*keys, F.col("_first").alias("_at"), F.lit(1).alias("_tag"), "_last"))
+    over = prefix(line, [F.col("_at"), F.col("_tag")], {"_reach": ("max", F.col("_last"))}, by=keys)
+    covered = over.where("_tag = 0 and _reach > _at").select(*keys, F.col("_at").alias("_bucket"), F.lit(True).alias("_covered"))
+    ends = done.select(*keys, "lo", "hi", F.explode(F.array_distinct(F.array("_first", "_last"))).alias("_bucket"))
+    ends = ends.join(avail.select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi")
+    taken = ends.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_taken"))
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    start = F.struct(none.alias("out"), F.col("_from").alias("next"))
     cut = F.aggregate(
-        F.coalesce("_taken", F.array().cast("array<struct<lo:bigint,hi:bigint>>")),
+        F.coalesce("_taken", none),
         start,
         lambda acc, t: F.struct(
-            F.when(acc["next"] < t["lo"], F.concat(acc["out"], F.array(F.struct(acc["next"].alias("lo"), F.least(t["lo"] - 1, F.col("_to")).alias("hi"))))).otherwise(acc["out"]).alias("out"),
+            F.when((acc["next"] < t["lo"]) & (acc["next"] <= F.col("_to")), F.concat(acc["out"], F.array(F.struct(acc["next"].alias("lo"), F.least(t["lo"] - 1, F.col("_to")).alias("hi"))))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["next"], t["hi"] + 1).alias("next"),
         ),
     )
+    rest = F.when(F.col("_cut.next") <= F.col("_to"), F.concat("_cut.out", F.array(F.struct(F.col("_cut.next").alias("lo"), F.col("_to").alias("hi"))))).otherwise(F.col("_cut.out"))
     return (
         avail.join(taken, [*keys, "_bucket"], "left")
+        .join(covered, [*keys, "_bucket"], "left")
         .withColumn("_cut", cut)
-        .select(
-            *keys,
-            "_bucket",
-            F.when(F.col("_cut.next") <= F.col("_to"), F.concat("_cut.out", F.array(F.struct(F.col("_cut.next").alias("lo"), F.col("_to").alias("hi"))))).otherwise(F.col("_cut.out")).alias("gaps"),
-        )
+        .select(*keys, "_bucket", F.when(F.col("_covered"), none).otherwise(rest).alias("gaps"))
     )
 
 
+def bucket_of(c: Column) -> Column:
+    """The bucket of a sequence number, exact for all 64-bit numbers."""
+    return F.shiftright(c, BUCKET.bit_length() - 1)
+
+
 def flag_pending(rows: DataFrame, committed: DataFrame, keys: list[str], seq: str, flag: str = "pending", available: DataFrame | None = None) -> DataFrame:
     """rows with a boolean column: is the row's number in a gap? A null key or number is always pending.
 
@@ -104,7 +113,7 @@ def flag_pending(rows: DataFrame, committed: DataFrame, keys: list[str], seq: st
     gap = stage(gaps(rows if available is None else available, committed, keys, seq), "gaps")
     # The rest of a row travels in one struct, so that no name of it can clash.
     keep = [c for c in rows.columns if c != flag]
-    at = rows.select(*keys, F.col(seq).cast("bigint").alias("_s"), F.floor(F.col(seq).cast("bigint") / BUCKET).alias("_bucket"), F.struct(*keep).alias("_row"))
+    at = rows.select(*keys, F.col(seq).cast("bigint").alias("_s"), bucket_of(F.col(seq).cast("bigint")).alias("_bucket"), F.struct(*keep).alias("_row"))
     joined = skew_join(at, gap, [*keys, "_bucket"], "left")
     inside = F.exists("gaps", lambda g: F.col("_s").between(g["lo"], g["hi"]))
     return joined.select("_row", F.coalesce(inside, F.lit(True)).alias("_flag")).select("_row.*", F.col("_flag").alias(flag))
@@ -113,51 +122,65 @@ def flag_pending(rows: DataFrame, committed: DataFrame, keys: list[str], seq: st
 class IntervalLedger:
     """Committed intervals of a consumer, kept beside its output in a folder all executors share.
 
-    A run writes its output and its intervals under its own id and then creates
-    the marker that makes both count. A run that dies before the marker leaves
-    nothing visible; running it again, under any id, neither skips nor repeats.
-    Concurrent runs of one consumer are not arbitrated.
+    A run writes its output and its intervals under its own id and then publishes the
+    next version of the ledger, which makes both count at once. A run that dies before
+    that leaves nothing visible; running it again, under any id, neither skips nor
+    repeats. Of two runs that took their rows from one version only the first to commit
+    counts; the other is refused and takes its rows again.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], key_types: list[str] | None = None):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
         self.types = key_types or ["bigint"] * len(keys)
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+        self.manifest = Manifest(spark, f"{self.path}/versions")
+        self._base: int | None = None
 
     def runs(self) -> list[str]:
-        """Ids of the committed runs, a file listing of markers."""
-        fs, path = self._fs()
-        at = path(f"{self.path}/commits")
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        """Ids of the committed runs."""
+        return self.manifest.latest()[1].get("runs", [])
 
-    def committed(self) -> DataFrame:
-        """Merged intervals (keys, lo, hi) of all committed runs."""
+    def interval_sets(self) -> list[str]:
+        """Names of the interval sets that the newest version reads: one a run since the last compaction, and its result."""
+        return self.manifest.latest()[1].get("intervals", [])
+
+    def _intervals(self, sets: list[str]) -> DataFrame:
         schema = ", ".join(f"{k} {t}" for k, t in zip(self.keys, self.types)) + ", lo bigint, hi bigint"
-        paths = [f"{self.path}/intervals/{r}" for r in self.runs()]
-        if not paths:
+        if not sets:
             return self.spark.createDataFrame([], schema)
-        return merge_intervals(self.spark.read.schema(schema).parquet(*paths), self.keys)
+        return merge_intervals(self.spark.read.schema(schema).parquet(*[f"{self.path}/intervals/{x}" for x in sets]), self.keys)
+
+    def committed(self) -> DataFrame:
+        """Merged intervals (keys, lo, hi) of all committed runs."""
+        return self._intervals(self.interval_sets())
 
     def pending(self, rows: DataFrame, seq: str) -> DataFrame:
-        """The rows that no committed run has taken in."""
-        return flag_pending(rows, self.committed(), self.keys, seq).where("pending").drop("pending")
+        """The rows that no committed run has taken in; a commit that follows counts only if none came between."""
+        self._base, content = self.manifest.latest()
+        return flag_pending(rows, self._intervals(content.get("intervals", [])), self.keys, seq).where("pending").drop("pending")
 
-    def commit(self, output: DataFrame, taken: DataFrame, seq: str, run_id: str | None = None, fail_before_marker: bool = False) -> str:
-        """Write output and the intervals of the numbers in taken, then make both count. fail_before_marker is for tests."""
+    def commit(self, output: DataFrame | Callable[[DataFrame], DataFrame], taken: DataFrame, seq: str, run_id: str | None = None, fail_before_marker: bool = False) -> str:
+        """Write output and the intervals of the numbers in taken, then make both count. fail_before_marker is for tests.
+
+        taken is written once and read back, so it cannot change between the two; output
+        is best a function of those rows. A DataFrame other than taken itself must come
+        from a source that stays the same.
+        """
         run = run_id or uuid.uuid4().hex
-        if run in self.runs():
+        version, content = self.manifest.latest()
+        if run in content.get("runs", []):
             raise ValueError(f"run {run} is committed already")
-        output.write.mode("overwrite").parquet(f"{self.path}/output/{run}")
-        to_intervals(taken, self.keys, seq).write.mode("overwrite").parquet(f"{self.path}/intervals/{run}")
+        base = version if self._base is None else self._base
+        snapshot = stage(taken, "taken")
+        made = output(snapshot) if callable(output) else snapshot if output is taken else output
+        made.write.mode("overwrite").parquet(f"{self.path}/output/{run}")
+        to_intervals(snapshot, self.keys, seq).write.mode("overwrite").parquet(f"{self.path}/intervals/{run}")
+        discard(snapshot)
         if fail_before_marker:
             raise RuntimeError("stopped before the commit marker")
-        fs, path = self._fs()
-        fs.mkdirs(path(f"{self.path}/commits"))
-        fs.create(path(f"{self.path}/commits/{run}"), False).close()
+        self._base = None
+        new = {"runs": [*content.get("runs", []), run], "intervals": [*content.get("intervals", []), run]}
+        if version != base or not self.manifest.publish(base + 1, new):
+            raise RuntimeError("another run was committed since the rows were taken; take them again")
         return run
 
     def output(self) -> DataFrame | None:
@@ -165,21 +188,19 @@ class IntervalLedger:
         paths = [f"{self.path}/output/{r}" for r in self.runs()]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def compact(self) -> str:
-        """Merge the intervals of all runs into one new file set (their number then follows the gaps, not the runs)."""
-        done, run = self.runs(), f"compact-{uuid.uuid4().hex}"
-        merged = self.committed()
-        merged.write.parquet(f"{self.path}/intervals/{run}")
-        outs = [r for r in done if r.startswith("compact-")]
-        fs, path = self._fs()
-        empty = self.output()
-        if empty is not None:
-            empty.limit(0).write.parquet(f"{self.path}/output/{run}")
-        fs.create(path(f"{self.path}/commits/{run}"), False).close()
-        for r in outs:  # an older compaction is contained in the new one
-            fs.delete(path(f"{self.path}/commits/{r}"), False)
-            _delete(self.spark, f"{self.path}/intervals/{r}")
-        return run
+    def compact(self) -> str | None:
+        """Merge the intervals of all runs into one set, whose size follows the gaps and not the runs, and delete the sets it replaces.
+
+        A run that is committed meanwhile keeps its set; None where there is nothing to merge.
+        """
+        sets, name = self.interval_sets(), f"compact-{uuid.uuid4().hex}"
+        if len(sets) < 2:
+            return None
+        self._intervals(sets).write.parquet(f"{self.path}/intervals/{name}")
+        self.manifest.update(lambda c: {**c, "intervals": [name, *[x for x in c["intervals"] if x not in sets]]})
+        for x in sets:
+            _delete(self.spark, f"{self.path}/intervals/{x}")
+        return name
 
 
 def message_offset():

@@ -12,9 +12,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows a checked broadcast may hold at most (narrow rows: keys and a few numbers).
+#: Rows a checked broadcast may hold at most ...
 BROADCAST_ROWS = 200_000
+#: ... and bytes of values in them.
+BROADCAST_BYTES = 64 * 2**20
 #: A key is hot when it holds more than one row in HOT_SHARE; so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
@@ -23,11 +26,13 @@ _staged: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables: spark.checkpoint.dir where the cluster names one, else a fresh local folder."""
+    """The folder for staged tables: spark.checkpoint.dir where the session names one; else, in local mode only, a fresh local folder."""
     global _own_dir
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="setwise-")
     return _own_dir
@@ -41,7 +46,12 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    return staged_at(spark, path, df.schema)
+
+
+def staged_at(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table written below the shared folder, which goes like one of stage()."""
+    out = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     out._setwise_path = path
     _staged[path] = spark
     return out
@@ -69,40 +79,54 @@ def _clean() -> None:
             pass
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when df has at most `rows` rows; reads no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+def _bytes_of(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+        return F.length(F.to_json(F.struct(c)))
+    return F.lit(8)
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when df has at most `rows` rows of at most `size` bytes together; reads no more than rows + 1 of them."""
+    each = sum((F.coalesce(_bytes_of(f), F.lit(0)).cast("bigint") for f in df.schema.fields), F.lit(0).cast("bigint"))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(each)).collect()[0]
+    return n <= rows and (total or 0) <= size
+
+
+def _can_hash(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _can_hash(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_can_hash(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """left JOIN right on the columns `on`, where right has one row per key and a key may hold any share of left.
 
-    A right side of at most `rows` rows is broadcast. Beyond that, the hot keys of
-    left (fewer than HOT_SHARE by definition) meet their right rows in a broadcast
-    join, rows with a null key skip the join, and the rest is shuffled.
+    A right side of at most `rows` rows and BROADCAST_BYTES is broadcast. Beyond that
+    one shuffle join is made, in which the hot keys of left (fewer than HOT_SHARE by
+    definition) and its rows without a key are spread over as many salts as there are
+    shuffle partitions; the right rows of hot keys are repeated for each salt.
     how: 'left' or 'inner'.
     """
-    if fits_broadcast(right, rows):
+    if rows and fits_broadcast(right, rows):
         return left.join(F.broadcast(right), on, how)
-    counts = left.dropna(subset=on).groupBy(*on).count()
-    total = left.count()
-    hot = counts.where(F.col("count") * HOT_SHARE > F.lit(total)).drop("count")
-    hot = stage(hot, "hot")
-    keyed = left.dropna(subset=on)
-    parts = [
-        keyed.join(F.broadcast(hot), on, "left_anti").join(right, on, how),
-        keyed.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how),
-    ]
-    if how == "left":
-        null_key = None
-        for c in on:
-            null_key = F.col(c).isNull() if null_key is None else null_key | F.col(c).isNull()
-        extra = [f for f in right.schema.fields if f.name not in on]
-        parts.append(left.where(null_key).select(*on, *[c for c in left.columns if c not in on], *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    counts = stage(left.select(*on).dropna().groupBy(*on).count(), "counts")
+    total = counts.agg(F.sum("count")).collect()[0][0] or 0
+    hot = stage(counts.where(F.col("count") * HOT_SHARE > F.lit(total)).select(*on, F.lit(True).alias("_hot")), "hot")
+    discard(counts)
+    n = max(2, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyless = F.lit(False)
+    for c in on:
+        keyless = keyless | F.col(c).isNull()
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in left.schema.fields if _can_hash(f.dataType)]), F.lit(n)).cast("int")
+    salted = left.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot") | keyless, spread).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def key_text(c: Column) -> Column:

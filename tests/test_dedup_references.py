@@ -34,6 +34,7 @@ def test_hot_message_and_file_groups(spark, tmp_path, monkeypatch):
     assert sorted(r.delivery_id for r in dedup.deduplicated_messages(spark, path).collect()) == want
     monkeypatch.setattr(dedup, "BROADCAST_BITMAPS", 4)
     assert sorted(r.delivery_id for r in dedup.deduplicated_messages(spark, path).collect()) == want
+    assert sorted(r[0] for r in dedup.surplus_deliveries(spark, path).collect()) == sorted(set(range(1, 400)) - set(want))
     events, bitmaps = dedup.message_winners(spark, path)
     assert dedup.write_deduplicated(events, bitmaps, f"file://{tmp_path}/out") > 1
     assert sorted(r.delivery_id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == want

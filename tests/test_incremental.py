@@ -42,11 +42,48 @@ def test_ledger_survives_a_failure(spark, tmp_path):
     led.commit(late, late, "s", "r2")
     assert led.pending(rows, "s").count() == 0
     assert sorted((r.k, r.s) for r in led.output().collect()) == sorted((k, s) for k in range(2) for s in range(10))
+    assert len(led.interval_sets()) == 2
     led.compact()
+    assert len(led.interval_sets()) == 1 and led.compact() is None
+    assert not {"r1", "r2"} & {p.name for p in (tmp_path / "led" / "intervals").iterdir()}
     assert [tuple(r) for r in led.committed().orderBy("k").collect()] == [(0, 0, 9), (1, 0, 9)]
     assert led.output().count() == 20
 
 
+def test_ledger_takes_what_it_wrote(spark, tmp_path):
+    """Rows that reach the source while a run writes are neither in its output nor marked as taken."""
+    src = f"file://{tmp_path}/src"
+    spark.range(5).selectExpr("1 as k", "id as s").write.parquet(src)
+    led = inc.IntervalLedger(spark, f"file://{tmp_path}/led", ["k"], ["int"])
+    taken = led.pending(spark.read.parquet(src), "s")
+
+    def make(rows):
+        spark.range(5, 8).selectExpr("1 as k", "id as s").write.mode("append").parquet(src)
+        return rows
+
+    led.commit(make, taken, "s")
+    assert sorted(r.s for r in led.output().collect()) == [0, 1, 2, 3, 4]
+    rest = led.pending(spark.read.parquet(src), "s")
+    assert sorted(r.s for r in rest.collect()) == [5, 6, 7]
+
+
+def test_one_of_two_runs_counts(spark, tmp_path):
+    rows = spark.range(4).selectExpr("1 as k", "id as s")
+    one, two = (inc.IntervalLedger(spark, f"file://{tmp_path}/led", ["k"], ["int"]) for _ in range(2))
+    a, b = one.pending(rows, "s"), two.pending(rows, "s")
+    one.commit(a, a, "s")
+    with pytest.raises(RuntimeError):
+        two.commit(b, b, "s")
+    assert two.pending(rows, "s").count() == 0 and two.output().count() == 4
+
+
+def test_numbers_far_apart(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2**45), ("a", -(2**62)), ("a", 2**62), ("b", 5), ("b", 2**45)], "k string, s bigint")
+    done = spark.createDataFrame([("a", 0, 2**44), ("b", -(2**62), 2**50)], "k string, lo bigint, hi bigint")
+    got = {(r.k, r.s): r.pending for r in inc.flag_pending(rows, done, ["k"], "s").collect()}
+    assert got == {("a", 1): False, ("a", 2**45): True, ("a", -(2**62)): True, ("a", 2**62): True, ("b", 5): False, ("b", 2**45): False}
+
+
 def events(spark, rows):
     return spark.createDataFrame(rows, "agent_id int, msg_offset bigint, event string, producer_id int, sequence_id int, changed_at timestamp")
 
@@ -109,6 +146,21 @@ def test_skew_join_equals_join(spark, how):
         assert sorted(map(str, scale.skew_join(left, right, ["k"], how, rows=rows).select("k", "v", "w").collect())) == want
 
 
+def test_prefix_of_each_key(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(500).selectExpr("id", "(id * 7919) % 101 as x", "case when id % 3 = 0 then 0 else id % 17 end as k")
+    got = scale.prefix(df, [F.col("x"), F.col("id")], {"n": ("count", F.lit(1)), "m": ("max", F.col("x"))}, parts=5, by=["k"])
+    w = Window.partitionBy("k").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumns({"n": F.count(F.lit(1)).over(w), "m": F.max("x").over(w)})
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    df = spark.range(10).selectExpr("id", "repeat('x', 1000) as t", "array(id, id) as a")
+    assert scale.fits_broadcast(df) and not scale.fits_broadcast(df, size=9_000) and not scale.fits_broadcast(df, rows=9)
+
+
 def test_prefix_equals_window(spark):
     from pyspark.sql import Window
 
