@@ -33,12 +33,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     """Full path (record ids from the root down) and number of descendants of every record in a tree."""
-    forest, names = hierarchy.key_and_account_hierarchy(table(spark, d, "api_keys"), table(spark, d, "accounts"))
-    sizes = forest.nodes.where("status = 'ok'").select("node", (F.col("size") - 1).alias("descendants"))
-    steps = forest.paths().join(names.select(F.col("node").alias("ancestor"), F.col("node_id").alias("at")), "ancestor")
-    path = steps.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("step", "at"))).alias("p"))
-    path = path.select("node", F.array_join(F.transform("p", lambda s: s["at"]), "/").alias("path"))
-    return path.join(sizes, "node").join(names, "node").select("entity", "node_id", "path", "descendants")
+    return hierarchy.path_rows(table(spark, d, "api_keys"), table(spark, d, "accounts"))
+
+
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every descendant of every record in a tree."""
+    return hierarchy.descendant_rows(table(spark, d, "api_keys"), table(spark, d, "accounts"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_chunks, p2_found, p3_found, p3_paths, p4_found, p4_results, p5_found, p5_messages, p6_found, p6_report)
+    f.__name__: f for f in (p1_found, p1_chunks, p2_found, p3_found, p3_paths, p3_descendants, p4_found, p4_results, p5_found, p5_messages, p6_found, p6_report)
 }
 
 _OFFSETS = "(select *, coalesce(msg_offset, try_cast(event->>'$.offset' as bigint)) as off from relay_events)"
@@ -178,6 +178,16 @@ n as (select entity, cur as node, count(*) as descendants from up where cur is n
 select d.entity, t.node_id, d.path, coalesce(n.descendants, 0) as descendants
 from down d join tree t on t.entity = d.entity and t.node = d.node
 left join n on n.entity = d.entity and n.node = d.node""",
+    "p3_descendants": f"""
+with recursive {_FOREST},
+up as (
+  select entity, node as origin, parent as cur from tree
+  union all
+  select u.entity, u.origin, t.parent from up u join tree t on t.entity = u.entity and t.node = u.cur
+  where exists (select 1 from down d where d.entity = u.entity and d.node = u.origin))
+select u.entity, a.node_id, b.node_id as descendant_id
+from up u join tree a on a.entity = u.entity and a.node = u.cur join tree b on b.entity = u.entity and b.node = u.origin
+where exists (select 1 from down d where d.entity = u.entity and d.node = u.origin)""",
     "p5_found": f"""
 select delivery_id from (
   select delivery_id, row_number() over (partition by agent_id, off order by delivered_at, delivery_id) as rn

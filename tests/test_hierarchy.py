@@ -67,7 +67,7 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
 
 def test_empty_and_single(spark):
     h = hi.build_hierarchy(spark.createDataFrame([], "node string, parent string"))
-    assert h.nodes.count() == 0 and h.paths().count() == 0
+    assert h.nodes.count() == 0 and h.path_text().count() == 0
     h = hi.build_hierarchy(spark.createDataFrame([("a", None)], "node string, parent string"))
     assert [(r.root, r.depth, r.size) for r in h.nodes.collect()] == [("a", 0, 1)]
     h = hi.build_hierarchy(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"))
