@@ -251,3 +251,25 @@ def pending_messages(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
         .select("agent_id", "msg_offset")
     )
 
+
+def relay_runs(events: DataFrame, path: str) -> DataFrame:
+    """Two runs of a consumer of the relay events, the second with everything that came late.
+
+    The first run takes in what was delivered in the first half of the time that the
+    table spans, the second whatever is there and not yet taken in, numbers below those
+    of the first run included. Output and merged intervals of offsets per agent are
+    committed to a ledger at path. Gives (run, agent_id, messages, lowest, highest) of
+    each run's output and, as run 0, the number and range of the agent's intervals.
+    """
+    ledger = IntervalLedger(events.sparkSession, path, ["agent_id"], ["int"])
+    rows = events.select("agent_id", message_offset().alias("offset"), "delivered_at").dropna(subset=["agent_id", "offset"])
+    ends = rows.agg(F.min("delivered_at").alias("a"), F.max("delivered_at").alias("b"))
+    half = F.timestamp_seconds((F.unix_seconds(F.col("a").cast("timestamp")) + F.unix_seconds(F.col("b").cast("timestamp"))) / 2)
+    early = rows.crossJoin(F.broadcast(ends)).where(F.col("delivered_at").cast("timestamp") <= half).drop("a", "b")
+    for n, source in ((1, early), (2, rows)):
+        taken = ledger.pending(source, "offset")
+        ledger.commit(lambda r, n=n: r.groupBy("agent_id", "offset").agg(F.lit(n).alias("run")), taken, "offset", f"run-{n}")
+    ledger.compact()
+    per = ledger.output().groupBy("run", "agent_id").agg(F.count("*").alias("messages"), F.min("offset").alias("lowest"), F.max("offset").alias("highest"))
+    merged = ledger.committed().groupBy("agent_id").agg(F.count("*").alias("messages"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"))
+    return per.unionByName(merged.select(F.lit(0).alias("run"), "agent_id", "messages", "lowest", "highest"))

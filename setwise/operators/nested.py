@@ -26,10 +26,11 @@ def _json_text(c: Column) -> Column:
 
 
 def _kids(node: Column) -> Column:
-    """The children of one node (struct with node_path and json) as an array of _KID."""
-    parts = F.from_json(node["json"], "fields string, indices string")
-    fields, indices = parts["fields"], parts["indices"]
-    path = node["node_path"]
+    """The children of one node (struct with node_path and json) as an array of _KID; its JSON is parsed once, by a transform over one element."""
+    return F.transform(F.array(F.from_json(node["json"], "fields string, indices string")), lambda parts: _kids_of(node["node_path"], parts["fields"], parts["indices"]))[0]
+
+
+def _kids_of(path: Column, fields: Column, indices: Column) -> Column:
 
     def field(name: Column, tree: Column) -> Column:
         return F.struct(F.lit("field").alias("kind"), F.concat(path, F.lit("."), name).alias("node_path"), path.alias("parent_path"), tree.alias("json"))

@@ -1,13 +1,15 @@
-"""Queries of the training-data problems 1 to 6, and the SQL that states the same results (p4 has none: quoting is no matter for SQL)."""
+"""Queries of the training-data problems 1 to 6, and the SQL that states the same results."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, hierarchy, incremental, nested, references, rejects
+from ..scale import shared_dir
 from ..session import table
 
 
@@ -27,6 +29,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending_messages(table(spark, d, "relay_events"), table(spark, d, "relay_checkpoints"))
 
 
+def p2_runs(spark: SparkSession, d: str) -> DataFrame:
+    """What two runs with a commit between them take in, and the intervals that they leave."""
+    return incremental.relay_runs(table(spark, d, "relay_events"), f"{shared_dir(spark)}/ledgers/{uuid.uuid4().hex}")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy_rows(table(spark, d, "api_keys"), table(spark, d, "accounts"))
 
@@ -71,8 +78,17 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(_orphans(spark, d))
 
 
+def p6_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Posts whose parent isn't there: the key (thread_id, parent_doc_id), partly null, under each match semantics."""
+    docs = table(spark, d, "documents")
+    refs = docs.select("doc_id", "thread_id", F.col("parent_doc_id").alias("post"))
+    posts = docs.select("thread_id", F.col("doc_id").alias("post"))
+    found = [references.find_orphans(refs, posts, ["thread_id", "post"], m).select(F.lit(m).alias("match"), "doc_id", "kind") for m in ("simple", "partial", "full")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_chunks, p2_found, p3_found, p3_paths, p3_descendants, p4_found, p4_results, p5_found, p5_messages, p6_found, p6_report)
+    f.__name__: f for f in (p1_found, p1_chunks, p2_found, p2_runs, p3_found, p3_paths, p3_descendants, p4_found, p4_results, p5_found, p5_messages, p6_found, p6_report, p6_parents)
 }
 
 _OFFSETS = "(select *, coalesce(msg_offset, try_cast(event->>'$.offset' as bigint)) as off from relay_events)"
@@ -154,6 +170,14 @@ where e.agent_id is not null and e.off is not null
 group by 1, 2
 having not bool_or(coalesce(e.off <= g.r.done_to and e.sequence_id <= c.hi, false))
   or bool_or(coalesce(e.changed_at > g.r.started, false))""",
+    "p2_runs": f"""
+with d as (select agent_id, off, delivered_at from {_OFFSETS} where agent_id is not null and off is not null),
+half as (select (floor(epoch_us(min(delivered_at)) / 1e6) + floor(epoch_us(max(delivered_at)) / 1e6)) / 2 as h from d),
+m as (select agent_id, off, case when bool_or(epoch_us(delivered_at) <= h * 1e6) then 1 else 2 end as run from d, half group by 1, 2),
+g as (select agent_id, off, off - row_number() over (partition by agent_id order by off) as island from m)
+select run, agent_id, count(*) as messages, min(off) as lowest, max(off) as highest from m group by 1, 2
+union all
+select 0, agent_id, count(distinct island), min(off), max(off) from g group by agent_id""",
     "p3_found": f"""
 with recursive {_FOREST},
 lost as (select * from tree t where not exists (select 1 from down d where d.entity = t.entity and d.node = t.node)),
@@ -197,5 +221,17 @@ select delivery_id, agent_id, producer_id, sequence_id, event_kind, api_key, eve
   select *, row_number() over (partition by agent_id, off order by delivered_at, delivery_id) as rn
   from {_OFFSETS}) where rn = 1 or agent_id is null or off is null""",
     "p6_found": f"with {_ORPHANS} select * from found",
+    "p6_parents": """
+with r as (
+  select doc_id, thread_id as t, parent_doc_id as p,
+    exists (select 1 from documents o where o.thread_id = d.thread_id and o.doc_id = d.parent_doc_id) as whole,
+    exists (select 1 from documents o where (d.thread_id is null or o.thread_id = d.thread_id) and (d.parent_doc_id is null or o.doc_id = d.parent_doc_id)) as partly
+  from documents d)
+select 'simple' as match, doc_id, 'missing' as kind from r where t is not null and p is not null and not whole
+union all
+select 'partial', doc_id, 'missing' from r where (t is not null or p is not null) and not partly
+union all
+select 'full', doc_id, case when t is not null and p is not null then 'missing' else 'mixed' end from r
+where (t is not null and p is not null and not whole) or ((t is null) <> (p is null))""",
     "p6_report": f"with {_ORPHANS} select ref_table, period, kind, count(*) as orphans from found group by 1, 2, 3",
 }
