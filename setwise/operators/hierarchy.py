@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import discard, skew_join, stage
+from ..scale import BROADCAST_BYTES, BROADCAST_ROWS, discard, measure, skew_join, stage
 
 _SEGS = "array<struct<chain:string,upto:bigint>>"
 
@@ -82,6 +82,10 @@ class Hierarchy:
         return skew_join(self.descendant_intervals(of), member, ["chain"], "inner").where("pos >= lo").select("node", "descendant")
 
 
+def _fits(rows: int, size: int) -> bool:
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def build_hierarchy(links: DataFrame, carry: list[str] | None = None) -> Hierarchy:
     """The forest of links(node string, parent string). carry: further columns of links of which each node gets the least value.
 
@@ -138,15 +142,15 @@ def _double_up(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = F.lit(1).cast("bigint")
     parts = base.where("parent is null").select("node", one.alias("size"))
     running = base.where("parent is not null").select("node", F.col("parent").alias("anc"), one.alias("size"))
-    staged, many = None, running.count()
+    many, size = measure(running)
     while many:
         ahead = running.select(F.col("node").alias("anc"), F.col("anc").alias("anc2"))
-        moved = skew_join(running, ahead, ["anc"], "left").select("node", "anc2", "size")
+        moved = skew_join(running, ahead, ["anc"], "left", fits=_fits(many, size)).select("node", "anc2", "size")
         add = running.groupBy("anc").agg(F.sum("size").alias("size")).select(F.col("anc").alias("node"), F.lit(None).cast("string").alias("anc2"), "size")
         nxt = stage(moved.unionByName(add).groupBy("node").agg(F.max("anc2").alias("anc"), F.sum("size").alias("size")), "up")
         parts = parts.unionByName(nxt.where("anc is null").select("node", "size"))
         running, before = nxt.where("anc is not null"), many
-        many = running.count()
+        many, size = measure(running)
         if many == before:
             break
     return stage(parts.groupBy("node").agg(F.sum("size").alias("size")), "subtrees"), running.select("node", "anc")
@@ -175,12 +179,12 @@ def _chains(sizes: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     done = start.where("at is null").select("node", F.col("node").alias("chain"), zero.alias("pos"))
     running = start.where("at is not null").select("node", "at", F.lit(1).cast("bigint").alias("pos"))
-    many = running.count()
+    (total, total_size), many = measure(start), running.count()
     while many:
         # Where a node's pointer has led so far: to its head (last), or to a node that runs itself.
         target = done.select(F.col("node").alias("at"), F.col("chain").alias("at2"), F.col("pos").alias("pos2"), F.lit(True).alias("last"))
         target = target.unionByName(running.select(F.col("node").alias("at"), F.col("at").alias("at2"), F.col("pos").alias("pos2"), F.lit(False).alias("last")))
-        nxt = stage(skew_join(running, target, ["at"], "inner").select("node", F.col("at2").alias("at"), (F.col("pos") + F.col("pos2")).alias("pos"), "last"), "chain")
+        nxt = stage(skew_join(running, target, ["at"], "inner", fits=_fits(total, 2 * total_size)).select("node", F.col("at2").alias("at"), (F.col("pos") + F.col("pos2")).alias("pos"), "last"), "chain")
         done = done.unionByName(nxt.where("last").select("node", F.col("at").alias("chain"), "pos"))
         running = nxt.where("not last").select("node", "at", "pos")
         many = running.count()

@@ -88,11 +88,17 @@ def _bytes_of(f: T.StructField) -> Column:
     return F.lit(8)
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """True when df has at most `rows` rows of at most `size` bytes together; reads no more than rows + 1 of them."""
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of values) of a table."""
     each = sum((F.coalesce(_bytes_of(f), F.lit(0)).cast("bigint") for f in df.schema.fields), F.lit(0).cast("bigint"))
-    n, total = df.limit(rows + 1).agg(F.count("*"), F.sum(each)).collect()[0]
-    return n <= rows and (total or 0) <= size
+    n, total = df.agg(F.count("*"), F.sum(each)).collect()[0]
+    return n, total or 0
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when df has at most `rows` rows of at most `size` bytes together; of a table that isn't staged it reads no more than rows + 1 rows."""
+    n, total = measure(df if hasattr(df, "_setwise_path") else df.limit(rows + 1))
+    return n <= rows and total <= size
 
 
 def _can_hash(t: T.DataType) -> bool:
@@ -103,16 +109,16 @@ def _can_hash(t: T.DataType) -> bool:
     return not isinstance(t, (T.MapType, T.VariantType))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS, *, fits: bool | None = None) -> DataFrame:
     """left JOIN right on the columns `on`, where right has one row per key and a key may hold any share of left.
 
     A right side of at most `rows` rows and BROADCAST_BYTES is broadcast. Beyond that
     one shuffle join is made, in which the hot keys of left (fewer than HOT_SHARE by
     definition) and its rows without a key are spread over as many salts as there are
     shuffle partitions; the right rows of hot keys are repeated for each salt.
-    how: 'left' or 'inner'.
+    how: 'left' or 'inner'; fits: whether right can be broadcast, where that was measured before.
     """
-    if rows and fits_broadcast(right, rows):
+    if fits or (fits is None and rows and fits_broadcast(right, rows)):
         return left.join(F.broadcast(right), on, how)
     counts = stage(left.select(*on).dropna().groupBy(*on).count(), "counts")
     total = counts.agg(F.sum("count")).collect()[0][0] or 0
