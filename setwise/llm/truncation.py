@@ -1,7 +1,10 @@
 """Texts that their source cut off (problem 9).
 
 Near-copies are found by min-hash banding, verified and aligned: the copy whose
-alignment ends early, in the middle of a sentence of the other, was cut. Records
+alignment ends early, in the middle of a sentence of the other, was cut. A cut text
+is contained in its whole copy however much is missing, so the bands are narrow
+enough for a text and a copy of half its length, and a pair is verified by the share
+of the shorter text's shingles that the longer one holds. Records
 without such a witness are judged by their source's length limits, by markup left
 open, and by the terminality of their closing words - how often, in the whole
 corpus, a word or the word after it ends a sentence or a line.
@@ -21,8 +24,8 @@ from ..scale import BROADCAST_ROWS, discard, fits_broadcast, skew_join, stage
 from .words import WordIds, shingle_ids, words
 
 SHINGLE = 5  # words a shingle
-SIMILAR = 0.8  # Jaccard similarity of near-copies
-BANDS, ROWS = 16, 5  # at similarity 0.8 a pair shares a band with probability 0.998
+SIMILAR = 0.8  # share of a cut text's shingles that its whole copy holds; Jaccard similarity of texts that end alike
+BANDS, ROWS = 32, 3  # a copy cut at 50 % of its length has Jaccard similarity 0.5 and shares a band with probability 0.986, at 40 % 0.88
 SEED = 7
 END_CHARS = 1000  # characters before the end in which closing words and open markup are looked for
 TAIL = 8  # words before the end that an alignment must agree in
@@ -39,23 +42,18 @@ DELIBERATE = 0.05  # a closing word with this share of all marks elsewhere trail
 SEEN = 200  # occurrences that make a word's terminality known
 CLOSES = 0.01  # a word that closes less often doesn't close
 PAIR_TEXTS, PAIR_INSIDE = 5, 4  # a pair of words that is a way to close
+VARIED = 0.5  # different words before an end, as a share of the texts that end so, that make it no fixed phrase
 FRAGMENT_SEEN, FRAGMENT_SHARE = 3, 0.002  # a fragment is seen less often than this, or than this share of the word ...
 WHOLE_SEEN = 20  # ... that it begins and that is seen at least so often
 
 SEP = "\x1f"
-_MARK = r"\s*(?:\[?(?:\.\.\.|…)\]?)\s*$"
-_OPEN = r"(?:<[a-zA-Z/!][^<>]*|\[/?[a-zA-Z]+(?:=[^\[\]\n]*)?|&[a-zA-Z]{1,8}|&#[0-9]{0,5})$"
+_MARK = re.compile(r"\s*(?:\[?(?:\.\.\.|…)\]?)\s*\Z")
+_OPEN = re.compile(r"(?:<[a-zA-Z/!][^<>]*|\[/?[a-zA-Z]+(?:=[^\[\]\n]*)?|&[a-zA-Z]{1,8}|&#[0-9]{0,5})\Z")
 _LETTER = r"[\p{L}\p{M}]"
-_TOKEN = re.compile(r"[^\W_]+")
-_CLOSE = re.compile(r"[ \t]*[.!?…]|[)\]\"”»']*[ \t]*(?:[.!?…]|\n|$)")
-
-
-# Words of English, German and Spanish that open what they stand before and so end no sentence.
-OPENING_WORDS = (
-    "a an and as at because but by for from if into nor of or than the their to unless whereas which with "
-    "aber als am beim dass dem den der des ein eine einem einen einer eines im ins mit oder obwohl sondern und vom von weil wenn zum zur "
-    "al aunque como con de del el en la las los o para pero por porque que según sin un una unos unas y"
-).split()
+#: A word and, where a sentence or a line ends behind it, what ends it.
+_TOKEN = re.compile(r"([^\W_]+)([ \t]*[.!?…]|[)\]\"”»']*[ \t]*(?:[.!?…]|\n|\Z))?")
+_WORD = re.compile(r"[^\W_]+")
+_CODE = re.compile(r"[^\W\d_]\d+\Z")
 
 
 # --- closing words ---------------------------------------------------------------------------
@@ -82,23 +80,16 @@ def closing_counts(docs: DataFrame, text: str, often: DataFrame) -> DataFrame:
         for b in frames:
             n, e, n2, e2, n3 = Counter(), Counter(), Counter(), Counter(), Counter()
             for t in b.column(0).to_pylist():
-                prev, last = None, None
-                for m in _TOKEN.finditer(t):
-                    if last is not None:
-                        w, end = last
-                        closed = _CLOSE.match(t, end) is not None
-                        n[w] += 1
-                        if closed:
-                            e[w] += 1
-                        if prev is not None:
-                            n2[prev] += 1
-                            if closed:
-                                e2[prev] += 1
-                            if every or (prev, w) in known:
-                                n3[prev + SEP + w] += 1
-                        prev = None if closed else w
-                    w = m.group().lower()
-                    last = ("#" if w.isdigit() else w, m.end())
+                found = _TOKEN.findall(t.lower())[:-1]
+                ws = ["#" if w.isdigit() else w for w, _ in found]
+                cs = [bool(c) for _, c in found]
+                n.update(ws)
+                e.update(w for w, c in zip(ws, cs) if c)
+                # Pairs within a sentence: the word before, and whether the word behind it closes.
+                pairs = [(p, w, c) for p, w, before, c in zip(ws, ws[1:], cs, cs[1:]) if not before]
+                n2.update(p for p, _, _ in pairs)
+                e2.update(p for p, _, c in pairs if c)
+                n3.update(p + SEP + w for p, w, _ in pairs if every or (p, w) in known)
             ks = ["word"] * len(n) + ["after"] * len(n2) + ["pair"] * len(n3)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -115,26 +106,43 @@ def closing_counts(docs: DataFrame, text: str, often: DataFrame) -> DataFrame:
 
 
 def frequent_pairs(ends: DataFrame) -> DataFrame:
-    """(prev, last, texts): the word pairs that end PAIR_TEXTS different texts or more."""
-    return ends.where("prev is not null").groupBy("prev", "last").agg(F.countDistinct("h1").alias("texts")).where(F.col("texts") >= PAIR_TEXTS)
+    """(prev, last, texts, befores): the word pairs that end PAIR_TEXTS different texts or more, and after how many different words."""
+    per = ends.where("prev is not null").groupBy("prev", "last").agg(F.countDistinct("h1").alias("texts"), F.countDistinct("prev2").alias("befores"))
+    return per.where(F.col("texts") >= PAIR_TEXTS)
+
+
+def hanging_ends(ends: DataFrame, counts: DataFrame, often: DataFrame) -> DataFrame:
+    """(doc_id) of the ends in a word or pair that many texts break off in.
+
+    It ends PAIR_TEXTS different texts or more without a stop, more than the word closes
+    sentences or lines in the whole corpus, and stands behind ever other words: at
+    least VARIED as many as texts. (A signature stands behind a line break or always the
+    same words; a word whose stop was merely left out closes sentences elsewhere.)
+    """
+    closes = counts.where("kind = 'word'").select(F.col("word").alias("last"), "ends")
+    varied = ends.groupBy("last").agg(F.countDistinct("h1").alias("texts"), F.countDistinct("prev").alias("befores"))
+    hangs = lambda df: df.join(closes, "last", "left").where((F.col("texts") >= PAIR_TEXTS) & (F.col("befores") >= VARIED * F.col("texts")) & (F.coalesce("ends", F.lit(0)) < F.col("texts")))
+    by_word = ends.join(hangs(varied).select("last"), "last", "left_semi").select("doc_id")
+    by_pair = ends.join(hangs(often).select("prev", "last"), ["prev", "last"], "left_semi").select("doc_id")
+    return by_word.unionByName(by_pair)
 
 
 def unfinished_ends(ends: DataFrame, counts: DataFrame, often: DataFrame) -> DataFrame:
-    """(doc_id) of the ends (doc_id, last, prev, h1) whose closing words don't close.
-
-    last: the last word in lower case ('#' for a number); prev: the word before it in
-    the same sentence, or null; h1 stands for the whole text. An opening word; a word
-    seen SEEN times that closes less often than CLOSES, or a word after which hardly
-    any word closes - but not where the pair is a way to close: it is one of often
-    and stands inside texts less than PAIR_INSIDE times as often as it ends one; or
-    a fragment: hardly ever seen itself, but the beginning of a common word.
+    """(doc_id) of the ends (doc_id, last, prev, prev2, h1) whose closing words don't close.
+
+    last: the last word in lower case ('#' for a number); prev, prev2: the words before
+    it in the same sentence, or null; h1 stands for the whole text. A word seen SEEN times
+    that closes less often than CLOSES, or a word after which hardly any word closes -
+    but not where the pair is a way to close: it is one of often, stands mostly behind
+    the same words or none, and inside texts less than PAIR_INSIDE times as often as it
+    ends one; a word or pair in which many texts break off (hanging_ends); or a fragment:
+    hardly ever seen itself, but the beginning of a common word.
     """
     open_words = counts.where((F.col("n") >= SEEN) & (F.col("ends") < CLOSES * F.col("n")))
-    opening = ends.where(F.col("last").isin(OPENING_WORDS)).select("doc_id")
     by_last = ends.join(open_words.where("kind = 'word'").select(F.col("word").alias("last")), "last", "left_semi").select("doc_id", "prev", "last")
     by_prev = ends.join(open_words.where("kind = 'after'").select(F.col("word").alias("prev")), "prev", "left_semi").select("doc_id", "prev", "last")
     inside = counts.where("kind = 'pair'").select(F.split("word", SEP)[0].alias("prev"), F.split("word", SEP)[1].alias("last"), F.col("n").alias("inside"))
-    closers = often.join(inside, ["prev", "last"], "left").where(F.coalesce("inside", F.lit(0)) < PAIR_INSIDE * F.col("texts")).select("prev", "last")
+    closers = often.where(F.col("befores") < VARIED * F.col("texts")).join(inside, ["prev", "last"], "left").where(F.coalesce("inside", F.lit(0)) < PAIR_INSIDE * F.col("texts")).select("prev", "last")
     by_words = by_last.unionByName(by_prev).distinct().join(closers, ["prev", "last"], "left_anti").select("doc_id")
     word = counts.where("kind = 'word'")
     rare = ends.where(F.col("last").rlike(rf"^{_LETTER}+$")).select("doc_id", "last")
@@ -143,7 +151,49 @@ def unfinished_ends(ends: DataFrame, counts: DataFrame, often: DataFrame) -> Dat
     own = word.select(F.col("word").alias("last"), "n")
     few = F.coalesce("n", F.lit(0)) < F.greatest(F.lit(FRAGMENT_SEEN), FRAGMENT_SHARE * F.col("whole"))
     by_fragment = rare.join(starts, "last").join(own, "last", "left").where(few).select("doc_id")
-    return opening.unionByName(by_words).unionByName(by_fragment).distinct()
+    return by_words.unionByName(by_fragment).unionByName(hanging_ends(ends, counts, often)).distinct()
+
+
+# --- ends of texts ---------------------------------------------------------------------------
+
+
+def text_ends(src: DataFrame) -> DataFrame:
+    """What stands at the end of each text of src (doc_id, source, text, posted).
+
+    (doc_id, source, month, chars, bytes, h1, h2, marked, open_markup, open_end, last,
+    prev, prev2, code): h1 and h2 stand for the text; marked: it ends in a mark of omission;
+    open_markup: in markup that isn't closed; open_end: in a letter or number; last,
+    prev, prev2: its last three words within the last sentence, in lower case, '#' for a number;
+    code: the end belongs to an address or a name with digits. Only what ends a text is
+    judged here, in the last END_CHARS characters.
+    """
+    keep = src.select("doc_id", "source", F.date_trunc("month", "posted").alias("month"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.right("text", F.lit(END_CHARS)).alias("text"))
+
+    def run(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in frames:
+            marked, markup, opened, last, prev, prev2, code = ([] for _ in range(7))
+            for t in b.column(b.num_columns - 1).to_pylist():
+                t = t.rstrip()
+                m = _MARK.search(t, max(0, len(t) - 8))
+                marked.append(m is not None)
+                markup.append(any(_OPEN.match(t, x) is not None for x in (t.rfind("<"), t.rfind("["), t.rfind("&")) if x >= 0))
+                opened.append(t[-1:].isalnum())
+                bare = t[: m.start()] if m else t
+                start = max(bare.rfind(x) for x in "\n.!?…") + 1
+                ws = _WORD.findall(bare[start:].lower())[-3:]
+                ws = ["#" if w.isdigit() else w for w in ws]
+                last.append(ws[-1] if ws else None)
+                prev.append(ws[-2] if len(ws) > 1 else None)
+                prev2.append(ws[-3] if len(ws) > 2 else None)
+                end = t.rsplit(None, 1)[-1] if t else ""
+                code.append("http://" in end or "https://" in end or "www." in end or "@" in end or _CODE.search(end) is not None)
+            new = [pa.array(x, pa.bool_()) for x in (marked, markup, opened)] + [pa.array(x, pa.string()) for x in (last, prev, prev2)] + [pa.array(code, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "marked", "open_markup", "open_end", "last", "prev", "prev2", "code"])
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in keep.schema.fields[:-1]]
+    return keep.mapInArrow(run, ", ".join([*fields, "marked boolean, open_markup boolean, open_end boolean, last string, prev string, prev2 string, code boolean"]))
 
 
 # --- length limits ---------------------------------------------------------------------------
@@ -193,29 +243,29 @@ def band_keys(docs: DataFrame) -> DataFrame:
         ids = WordIds()
         for b in frames:
             ks, ts = b.column(0).to_pylist(), b.column(1)
-            for lo in range(0, len(ks), 256):
-                keys, ns, ds = [], [], []
-                for k, t in zip(ks[lo : lo + 256], ts.slice(lo, 256).to_pylist()):
+            for lo in range(0, len(ks), 64):
+                parts, ns, ds = [], [], []
+                for k, t in zip(ks[lo : lo + 64], ts.slice(lo, 64).to_pylist()):
                     ws = words(t)
-                    s = np.unique(shingle_ids(ids(ws), SHINGLE))
-                    if not len(s):
-                        continue
-                    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-                    for i in range(0, len(s), 4096):
-                        h = s[i : i + 4096, None] * a + c
-                        least = np.minimum(least, (h ^ (h >> np.uint64(31))).min(axis=0))
-                    sig = least.reshape(BANDS, ROWS)
-                    key = np.zeros(BANDS, np.uint64)
-                    for r in range(ROWS):
-                        key = (key ^ sig[:, r]) * np.uint64(0x9E3779B97F4A7C15)
-                        key ^= key >> np.uint64(32)
-                    keys.append(key)
-                    ns.append(len(ws))
-                    ds.append(k)
+                    s = shingle_ids(ids(ws), SHINGLE)
+                    if len(s):
+                        parts.append(s)
+                        ns.append(len(ws))
+                        ds.append(k)
                 m = len(ds)
-                flat = np.concatenate(keys) if m else np.empty(0, np.uint64)
+                key = np.zeros((m, BANDS), np.uint64)
+                if m:  # the shingles of all these texts go through each hash function at once
+                    flat = np.concatenate(parts)
+                    starts = np.cumsum([0, *map(len, parts[:-1])])
+                    for i in range(BANDS * ROWS):
+                        h = flat * a[i] + c[i]
+                        h ^= h >> np.uint64(31)
+                        at = key[:, i // ROWS]
+                        at ^= np.minimum.reduceat(h, starts)
+                        at *= np.uint64(0x9E3779B97F4A7C15)
+                        at ^= at >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), m)), pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), BANDS)), pa.array(np.repeat(np.array(ds, np.int64), BANDS))],
+                    [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), m)), pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), BANDS)), pa.array(np.repeat(np.array(ds, np.int64), BANDS))],
                     names=["band", "key", "n_words", "doc_id"],
                 )
 
@@ -235,13 +285,14 @@ def copy_pairs(docs: DataFrame, bands: DataFrame | None = None) -> DataFrame:
 
 
 def compare_ends(text: str, other: str) -> str | None:
-    """How a text ends beside a near-copy: 'early' - inside a sentence of the other; 'same' - where the other ends; None - otherwise or no near-copy."""
+    """How a text ends beside a near-copy: 'early' - inside a sentence of the other, which holds it; 'same' - where the other, which is alike, ends; None - otherwise or no near-copy."""
     a, b = words(text), words(other)
     sa = {tuple(a[i : i + SHINGLE]) for i in range(len(a) - SHINGLE + 1)}
     sb = {tuple(b[i : i + SHINGLE]) for i in range(len(b) - SHINGLE + 1)}
     both = len(sa & sb)
-    if not both or both < SIMILAR * (len(sa) + len(sb) - both):
+    if not both or both < SIMILAR * len(sa):
         return None
+    alike = both >= SIMILAR * (len(sa) + len(sb) - both)
     tail = a[-TAIL - 1 : -1]
     if len(tail) < 3:
         return None
@@ -253,7 +304,7 @@ def compare_ends(text: str, other: str) -> str | None:
                 return "early"
             continue  # another number is no longer word
         if j == len(b) - 1:
-            return "same" if _ends_open(text) else None
+            return "same" if alike and _ends_open(text) else None
         return "early" if _ends_open(text) and _runs_on(other, tail[-2:] + [b[j], b[j + 1]]) else None
     return None
 
@@ -426,27 +477,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     """
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"), F.col(posted).alias("posted"))
     src = src.where(F.col("doc_id").isNotNull() & (F.trim("text") != ""))
-    # Only what stands at the end is judged here: two words, a mark or open markup. A bounded tail keeps the patterns linear.
-    body = F.rtrim(F.right("text", F.lit(END_CHARS)))
-    bare = F.regexp_replace(body, _MARK, "")
-    sentence = F.element_at(F.split(bare, r"[\n.!?…]"), -1)  # split is linear, a pattern that ends in $ is not
-    toks = F.regexp_extract_all(F.lower(sentence), F.lit(r"([\p{L}\p{N}\p{M}]+)"), F.lit(1))
-    num = lambda c: F.when(c.rlike(r"^\p{N}+$"), F.lit("#")).otherwise(c)
-    ends = src.select(
-        "doc_id",
-        "source",
-        F.date_trunc("month", "posted").alias("month"),
-        F.length("text").alias("chars"),
-        F.octet_length("text").alias("bytes"),
-        F.xxhash64("text").alias("h1"),
-        F.hash("text").alias("h2"),
-        body.rlike(_MARK).alias("marked"),
-        F.regexp_like(body, F.lit(_OPEN)).alias("open_markup"),
-        body.rlike(r"[\p{L}\p{N}]$").alias("open_end"),
-        num(F.element_at(toks, F.when(F.size(toks) > 0, -1).otherwise(F.lit(None)))).alias("last"),
-        num(F.element_at(toks, F.when(F.size(toks) > 1, -2).otherwise(F.lit(None)))).alias("prev"),
-        (body.rlike(r"(?:https?://|www\.|@)\S*$") | body.rlike(r"[\p{L}]+[\p{N}]+$")).alias("code"),
-    )
+    ends = text_ends(src)
     ends = stage(ends, "ends")
 
     sizes = (
@@ -461,7 +492,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     marked = _at_marked_limit(ends, marked_limits(sizes, ends))
     markup = ends.where("open_markup").select("doc_id")
 
-    open_ends = ends.where("open_end and not code and last is not null").select("doc_id", "last", "prev", "h1")
+    open_ends = ends.where("open_end and not code and last is not null").select("doc_id", "last", "prev", "prev2", "h1")
     often = stage(frequent_pairs(open_ends), "pairs")
     counts = stage(closing_counts(docs, text, often), "closings")
     closing = unfinished_ends(open_ends, counts, often)
