@@ -1,10 +1,14 @@
 """Evaluation passages inside a training corpus (problem 8).
 
-A positional inverted index of the corpus holds a posting (term, doc_id, pos) for
-every run of three words that also occurs in the test material. Of each stretch of
-a passage that would count as a leak, the terms that are rarest in the corpus
-select documents; the offset-adjusted lists of all shared terms are then chained
-into aligned stretches, exact or garbled, and measured.
+The corpus is tokenised once, into a stored index: a posting (term, doc_id, pos) for
+every run of three words of every text, and each text's words in their order. The
+index is split by documents, so no term's list lies in one place, and inverted in
+blocks: postings are written in the order of their terms.
+
+All test items are looked up at once. Of each stretch of a passage that would count as
+a leak, the terms that are rarest in the corpus select documents; the offset-adjusted
+lists of all selecting terms are intersected, and where enough of them agree the
+stored words at these positions are aligned into exact or garbled stretches.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import BROADCAST_ROWS, discard, stage
+from ..scale import fits_broadcast, skew_join, stage
 from .words import WordIds, shingle_ids, words
 
 TERM = 3  # words a term
@@ -28,7 +32,8 @@ OFFSETS = 128  # width of an offset bucket; half of it holds the foreign words t
 DENSITY = 0.95  # share of a stretch's words that must agree; stock sentences with one word exchanged stay below it
 SKIP_ITEM = 3  # words of the passage that may be missing between two aligned runs
 SKIP_DOC = 60  # foreign words that may stand between two aligned runs
-ITEMS_PER_BLOCK = 2_000  # test items that are searched at once; more go in further blocks
+BLOCK = 500_000  # postings that a task inverts at a time
+PASSAGES = 10_000  # passages that a task keeps ready
 
 
 def _near(a: str, b: str) -> bool:
@@ -111,95 +116,145 @@ def is_leak(doc: list[str], item: list[str], places: dict | None = None) -> bool
     return span >= max(need, TERM) and agree >= DENSITY * span
 
 
-def build_index(docs: DataFrame, doc_id: str, text: str, terms: np.ndarray) -> DataFrame:
-    """The stored index: (term, doc_id, pos) for every position in every whole text whose term is among the sorted ids `terms`."""
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored index of all whole texts: rows (term, doc_id, pos) for every position, and one (doc_id, words) a text.
+
+    words: the text's words with a space between. Null ids and texts are left out; a
+    text of fewer than TERM words has no postings. One pass, written to the shared folder.
+    """
 
     def run(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
         ids = WordIds()
+
+        def block(terms: list, at: list, kept: list[tuple[int, str]]):
+            t = np.concatenate([np.empty(0, np.uint64), *terms]).view(np.int64)
+            k = np.repeat(np.array([d for d, _ in at], np.int64), [n for _, n in at]) if at else np.empty(0, np.int64)
+            p = np.concatenate([np.empty(0, np.int32), *[np.arange(n, dtype=np.int32) for _, n in at]])
+            order = np.argsort(t, kind="stable")
+            m, n = len(t), len(kept)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(t[order]), pa.nulls(n, pa.int64())]),
+                    pa.concat_arrays([pa.array(k[order]), pa.array([d for d, _ in kept], pa.int64())]),
+                    pa.concat_arrays([pa.array(p[order]), pa.nulls(n, pa.int32())]),
+                    pa.concat_arrays([pa.nulls(m, pa.string()), pa.array([w for _, w in kept], pa.string())]),
+                ],
+                names=["term", "doc_id", "pos", "words"],
+            )
+
+        terms, at, kept, size = [], [], [], 0
         for b in frames:
-            ks, ts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            ks, ts = b.column(0).to_pylist(), b.column(1)
             for lo in range(0, len(ks), 256):
-                out = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))]
                 for k, t in zip(ks[lo : lo + 256], ts.slice(lo, 256).to_pylist()):
-                    s = shingle_ids(ids(words(t)), TERM)
-                    at = np.minimum(np.searchsorted(terms, s), len(terms) - 1)
-                    pos = np.nonzero(terms[at] == s)[0]
-                    if len(pos):
-                        out.append((s[pos], np.full(len(pos), k, np.int64), pos.astype(np.int32)))
-                t, k, p = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(k), pa.array(p)], names=["term", "doc_id", "pos"])
+                    ws = words(t)
+                    s = shingle_ids(ids(ws), TERM)
+                    terms.append(s)
+                    at.append((k, len(s)))
+                    kept.append((k, " ".join(ws)))
+                    size += len(s)
+                    if size > BLOCK:
+                        yield block(terms, at, kept)
+                        terms, at, kept, size = [], [], [], 0
+        yield block(terms, at, kept)
 
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return src.mapInArrow(run, "term bigint, doc_id bigint, pos int")
+    return stage(src.mapInArrow(run, "term bigint, doc_id bigint, pos int, words string"), "index")
+
+
+def item_terms(items: DataFrame, item_id: str, passage: str) -> DataFrame:
+    """(part, item_id, words, place, term): every term of every passage; part stands for one passage of one item."""
 
+    def run(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ids = WordIds()
+        for b in frames:
+            out = ([], [], [], [], [])
+            for part, i, t in zip(*(c.to_pylist() for c in b.columns)):
+                ws = words(t)
+                for q, term in enumerate(shingle_ids(ids(ws), TERM).view(np.int64).tolist()):
+                    for lst, v in zip(out, (part, i, " ".join(ws), q, term)):
+                        lst.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()))], names=["part", "item_id", "words", "place", "term"])
 
-def _selecting(items: dict[int, list[str]], ids: WordIds, counts: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(term, item, place) of the RAREST terms of each window of MIN_WORDS words that occur in the corpus at all."""
-    rows = []
-    for item, ws in items.items():
-        ts = shingle_ids(ids(ws), TERM).view(np.int64).tolist()
-        n = max(1, MIN_WORDS - TERM + 1)
-        chosen = set()
-        for lo in range(max(1, len(ts) - n + 1)):
-            there = [q for q in range(lo, min(lo + n, len(ts))) if counts.get(ts[q])]
-            chosen.update(sorted(there, key=lambda q: (counts[ts[q]], q))[:RAREST])
-        rows += [(ts[q], item, q) for q in chosen]
-    return rows
+    src = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(passage).alias("passage")).dropna().distinct()
+    return src.select(F.xxhash64("item_id", "passage").alias("part"), "item_id", "passage").mapInArrow(run, "part bigint, item_id bigint, words string, place int, term bigint")
+
+
+def selecting_terms(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """(part, place, term, least) of the RAREST terms of each window of MIN_WORDS words that occur in the corpus at all; least: hits that a document needs."""
+    per = terms.join(counts, "term").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("place", "term", "n"))).alias("there"))
+    per = per.join(terms.groupBy("part").agg(F.count("*").alias("all")), "part").select("part", "there", "all")
+
+    def run(frames: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        width = max(1, MIN_WORDS - TERM + 1)
+        for b in frames:
+            out = ([], [], [], [])
+            for part, there, every in zip(*(c.to_pylist() for c in b.columns)):
+                at = {x["place"]: (x["n"], x["place"], x["term"]) for x in there}
+                chosen = set()
+                for lo in range(max(1, every - width + 1)):
+                    chosen.update(sorted(at[q] for q in range(lo, min(lo + width, every)) if q in at)[:RAREST])
+                for _, q, term in chosen:
+                    for lst, v in zip(out, (part, q, term, min(HITS, every))):
+                        lst.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["part", "place", "term", "least"])
+
+    return per.mapInArrow(run, "part bigint, place int, term bigint, least int")
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """(doc_id, item_id): every document that carries an item's passage, wholly or in good part.
 
-    The test items are read in blocks of ITEMS_PER_BLOCK, so what is broadcast is
-    bounded by that parameter; the corpus is neither sampled nor cut. Postings of a
-    term are never gathered; hits are only counted, per document, item and offset.
+    The corpus is tokenised once, however many items there are; it is neither sampled
+    nor cut. Postings of a term are never gathered; hits are only counted, per
+    document, passage and offset.
 
     Defined cases: a null or empty text or passage, or one of fewer than TERM words,
     matches nothing; a passage shorter than MIN_WORDS words counts when wholly
-    there; repeated items give the row once; several ids of one passage each get a row.
+    there; repeated items give the row once; several ids of one passage each get a
+    row; of several passages of one id each counts.
     """
-    blocks = max(1, -(-items.select(item_id).distinct().count() // ITEMS_PER_BLOCK))
-    out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64(F.col(item_id)), F.lit(blocks)) == block).select(item_id, passage).dropna().distinct()
-        found = _search(docs, {int(i): words(p) for i, p in part.collect()}, doc_id, text)
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
-
-
-def _search(docs: DataFrame, items: dict[int, list[str]], doc_id: str, text: str) -> DataFrame:
-    spark = docs.sparkSession
-    items = {i: w for i, w in items.items() if len(w) >= TERM}
-    ids = WordIds()
-    terms = np.unique(np.concatenate([np.empty(0, np.uint64), *[shingle_ids(ids(w), TERM) for w in items.values()]]))
-    if not len(terms):
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
-    index = stage(build_index(docs, doc_id, text, terms), "postings")
-    counts = {r[0]: r[1] for r in index.groupBy("term").count().collect()}  # at most the terms of one block of items
-    chosen = spark.createDataFrame(_selecting(items, ids, counts), "term bigint, item_id bigint, place int")
+    return search(build_index(docs, doc_id, text), items, item_id, passage)
+
+
+def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", passage: str = "passage") -> DataFrame:
+    """leaked_items over a stored index."""
+    terms = stage(item_terms(items, item_id, passage), "terms")
+    wanted = stage(terms.select("term").distinct(), "wanted")
+    postings = index.where("term is not null").select("term", "doc_id", "pos")
+    hits = stage(skew_join(postings, wanted, ["term"], "inner"), "hits")
+    counts = hits.groupBy("term").agg(F.count("*").alias("n"))
+    chosen = stage(selecting_terms(terms.select("part", "place", "term"), counts), "chosen")
     # Offset-adjusted lists: hits on about one offset meet in a bucket; the buckets overlap by half.
-    hits = index.join(F.broadcast(chosen), "term").select("doc_id", "item_id", F.floor((F.col("pos") - F.col("place")) / (OFFSETS // 2)).alias("half"))
-    hits = hits.withColumn("bucket", F.explode(F.array(F.col("half"), F.col("half") - 1)))
-    pairs = hits.groupBy("doc_id", "item_id", "bucket").agg(F.count("*").alias("n")).where(F.col("n") >= HITS).select("doc_id", "item_id").distinct()
-    wanted = stage(pairs.groupBy("doc_id").agg(F.collect_list("item_id").alias("items")), "candidates")
-    discard(index)
-    src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    side = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    near = skew_join(hits, chosen, ["term"], "inner").select("doc_id", "part", "least", F.floor((F.col("pos") - F.col("place")) / (OFFSETS // 2)).alias("half"))
+    near = near.withColumn("bucket", F.explode(F.array(F.col("half"), F.col("half") - 1)))
+    pairs = near.groupBy("doc_id", "part", "bucket").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("doc_id", "part").distinct()
+    pairs = stage(pairs, "candidates")
+    passages = terms.select("part", "item_id", F.col("words").alias("item_words")).distinct()
+    told = skew_join(pairs, passages, ["part"], "inner")
+    texts = index.where("words is not null").select("doc_id", "words")
+    told = texts.join(F.broadcast(told), "doc_id") if fits_broadcast(told) else texts.join(told, "doc_id")
 
     def run(frames: Iterator) -> Iterator:
         import pyarrow as pa
 
-        places = {i: term_places(w) for i, w in items.items()}
+        known: dict[int, tuple] = {}
         for b in frames:
             ks, its = [], []
-            for k, t, cand in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ws = words(t)
-                for i in cand:
-                    if is_leak(ws, items[i], places[i]):
-                        ks.append(k)
-                        its.append(i)
+            for k, ws, part, i, item in zip(*(c.to_pylist() for c in b.columns)):
+                if part not in known:
+                    if len(known) > PASSAGES:
+                        known.clear()
+                    known[part] = (item.split(" "), term_places(item.split(" ")))
+                if is_leak(ws.split(" "), *known[part]):
+                    ks.append(k)
+                    its.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(its, pa.int64())], names=["doc_id", "item_id"])
 
-    return src.join(side, "doc_id").select("doc_id", "text", "items").mapInArrow(run, "doc_id bigint, item_id bigint")
+    return told.select("doc_id", "words", "part", "item_id", "item_words").mapInArrow(run, "doc_id bigint, item_id bigint").distinct()

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,7 +51,7 @@ def count_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKEN
         with open(tokenizer, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        piece = 100_000  # the encoder's recursion is bounded; very long texts are cut at white space
+        piece = 100_000  # very long texts go to the encoder in parts; their tokens are those of the whole text
         for b in frames:
             ns = []
             for t in b.column(1).to_pylist():
@@ -64,13 +65,15 @@ def count_tokens(docs: DataFrame, doc_id: str, text: str, tokenizer: str = TOKEN
     return src.mapInArrow(run, "doc_id bigint, n_tokens int")
 
 
+_SEAM = re.compile(r"(?<=\S) (?=[^\W\d_])")
+
+
 def _pieces(t: str, size: int) -> Iterator[str]:
+    """A long text in parts of about `size` characters, cut only where a token must begin: before a blank that a word follows."""
     i = 0
     while i < len(t):
-        j = min(len(t), i + size)
-        if j < len(t):
-            k = t.rfind(" ", i + size // 2, j)
-            j = k if k > 0 else j
+        m = _SEAM.search(t, i + size)
+        j = m.start() if m else len(t)
         yield t[i:j]
         i = j
 

@@ -9,8 +9,8 @@ import unicodedata
 import numpy as np
 import xxhash
 
-_BREAK = re.compile(r"<\s*/?\s*(?:br|p|div|li|ul|ol|blockquote|hr|tr|td)\b[^<>]{0,200}>|\[/?(?:quote|list|code)[^\[\]]{0,200}\]", re.I)
-_TAG = re.compile(r"<[/a-zA-Z!][^<>]{0,300}>|\[/?[A-Za-z*]+(?:=[^\[\]]{0,300})?\]")
+_BREAK = re.compile(r"<\s*/?\s*(?:br|p|div|li|ul|ol|blockquote|hr|tr|td)\b[^<>]*>|\[/?(?:quote|list|code)[^\[\]]*\]", re.I)
+_TAG = re.compile(r"<[/a-zA-Z!][^<>]*>|\[/?[A-Za-z*]+(?:=[^\[\]]*)?\]")
 _HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?:>\s*)*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")

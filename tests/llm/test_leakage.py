@@ -64,12 +64,36 @@ def test_finds_all_planted_and_equals_brute_force(spark):
     assert got == true == brute(docs, PASSAGES)
 
 
-def test_blocks_of_items(spark, monkeypatch):
+def test_repeated_items_and_a_stored_index(spark):
     docs, true = corpus()
-    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 3)
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    index = leakage.build_index(spark.createDataFrame(docs, "doc_id bigint, text string"))
     items = spark.createDataFrame(list(PASSAGES.items()) * 2, "item_id bigint, passage string")
-    assert {tuple(r) for r in leakage.leaked_items(df, items).collect()} == true
+    assert {tuple(r) for r in leakage.search(index, items).collect()} == true
+    assert {tuple(r) for r in leakage.search(index, items.where("item_id < 3")).collect()} == {x for x in true if x[1] < 3}
+
+
+def test_short_passages(spark):
+    passages = {n: " ".join(VOCAB[10 * n : 10 * n + n]) for n in (3, 4, 5, 8)}
+    docs = [(n, f"{sentence(9, random.Random(n))} {p} {sentence(9, random.Random(50 + n))}") for n, p in passages.items()] + [(20, sentence(40, random.Random(9)))]
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(passages.items()), "item_id bigint, passage string"))
+    assert {tuple(r) for r in got.collect()} >= {(n, n) for n in passages}
+
+
+def test_garbled_short_stretches_against_brute_force(spark):
+    """Stretches of 15 to 20 words of real passages, every sixth word garbled: what brute force accepts is found."""
+    passages = {r.item_id: r.passage for r in spark.read.parquet("/root/testdata/sf0.01/eval_items.parquet").collect()}
+    posts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 200 and 600").orderBy("doc_id").limit(240).collect()]
+    rng = random.Random(8)
+    docs = []
+    for n, (i, p) in enumerate(sorted(passages.items())):
+        need = max(15, -(-len(words(p)) // 3))
+        long = rng.randrange(need, need + 6)
+        at = rng.randrange(max(1, len(p.split()) - long))
+        part = " ".join(p.split()[at : at + long])
+        docs.append((n, posts[n % len(posts)] + "\n" + (garble(part, rng, 6) if all(len(w) > 2 for w in part.split()[4::6]) else part)))
+    want = brute(docs, passages)
+    got = {tuple(r) for r in leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(passages.items()), "item_id bigint, passage string")).collect()}
+    assert got <= want and len(want) > 100 and len(got) >= 0.97 * len(want), (len(got), len(want))
 
 
 def test_one_item_in_most_documents(spark):
