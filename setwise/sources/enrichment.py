@@ -41,3 +41,41 @@ def enrich(df: DataFrame, transport: Callable[[list], list], schema: str, batch:
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields)
     return df.mapInPandas(run, f"{fields}, {schema}" if fields else schema)
+
+
+def enrich_set(alg, s, options, transport=None):
+    """For the language: each value of a set with what a service at {url: ...} replies for it, as JSON; a null reply leaves the value out."""
+    from pyspark.sql import functions as F
+
+    from ..errors import CompileError
+    from ..functions import values as V
+
+    url = options.val.fields.get("url")
+    if url is None or not isinstance(url.lit, str):
+        raise CompileError("a constant url is needed")
+    send = transport or http_transport(url.lit)
+    name = f"en{next(alg.count)}"
+
+    def f(val, ids: list[str]):
+        def make(df: DataFrame) -> DataFrame:
+            sent = df.select(*ids, F.to_json(F.struct(V.column(val).alias("v"))).alias(name))
+
+            def run(frames: Iterator) -> Iterator:
+                import pyarrow as pa
+
+                for b in frames:
+                    rows = [json.loads(x).get("v") for x in b.column(len(ids)).to_pylist()]
+                    out = []
+                    for lo in range(0, len(rows), 500):
+                        replies = send(rows[lo : lo + 500])
+                        if len(replies) != len(rows[lo : lo + 500]):
+                            raise ValueError(f"{len(rows[lo : lo + 500])} rows sent, {len(replies)} replies")
+                        out += [None if r is None else json.dumps(r) for r in replies]
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(ids)], pa.array(out, pa.string())], names=[*ids, name])
+
+            got = sent.mapInArrow(run, sent.schema).where(F.col(name).isNotNull())
+            return got.select(*ids, F.parse_json(name).alias(name))
+
+        return make, V.Val("variant", F.col(name))
+
+    return alg.morph(s, f)

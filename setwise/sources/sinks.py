@@ -45,18 +45,30 @@ class ResultCache:
 
     def __init__(self, catalog, folder: str = "/results"):
         self.catalog, self.folder = catalog, folder
+        self.renewal: threading.Thread | None = None
 
-    def get(self, name: str, make, max_age: float | None = None, now: float | None = None) -> DataFrame:
-        """The cached result of `name`, or make()'s, which is then kept in place of the old one. max_age in seconds; None: never use the cache."""
+    def get(self, name: str, make, max_age: float | None = None, now: float | None = None, recache_after: float | None = None) -> DataFrame:
+        """The cached result of `name`, or make()'s, which is then kept in place of the old one.
+
+        max_age, in seconds: older results aren't used (None: none is). recache_after: a
+        result older than this is still given out, and made anew in the background.
+        """
         at = time.time() if now is None else now
         path = f"{self.folder}/{name}"
         if max_age is not None:
-            fresh = [s for s in self.catalog.streams(path) if at - int(s.partition("-")[0]) / 1000 <= max_age]
-            if fresh:
-                return self.catalog.read(path)
-        self.catalog.write(path, make(), mode="replace", stream=f"{int(at * 1000)}-result")
+            ages = [at - int(s.partition("-")[0]) / 1000 for s in self.catalog.streams(path)]
+            if ages and min(ages) <= max_age:
+                out = self.catalog.read(path)
+                if recache_after is not None and min(ages) > recache_after:
+                    self.renewal = threading.Thread(target=self._keep, args=(path, make, at), daemon=True)
+                    self.renewal.start()
+                return out
+        self._keep(path, make, at)
         return self.catalog.read(path)
 
+    def _keep(self, path: str, make, at: float) -> None:
+        self.catalog.write(path, make(), mode="replace", stream=f"{int(at * 1000)}-result")
+
 
 def collect(df: DataFrame, timeout: float | None = None) -> list:
     """The rows of a result; after `timeout` seconds its jobs are cancelled and QueryTimeout is raised."""

@@ -1,17 +1,21 @@
 """Continuous ingest and queries over streams, on Structured Streaming.
 
 The checkpoint folder holds the offsets, so a run that dies goes on where it was and
-every batch is written under its own stream id - delivering one again changes nothing.
+every batch is known by its checkpoint and number - delivering one again changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..errors import SetwiseError
+from ..manifest import Manifest
 from ..sources.catalog import Catalog
 
 
@@ -23,10 +27,16 @@ def stream_files(spark: SparkSession, folder: str, schema: str, fmt: str = "parq
 
 
 def ingest(source: DataFrame, catalog: Catalog, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> StreamingQuery:
-    """Append (or, with mode 'replace', keep only the newest of) what has arrived to a dataset, once each."""
+    """Append (or, with mode 'replace', keep only the newest of) what has arrived to a dataset, once each.
+
+    Batches are numbered per checkpoint: each checkpoint folder has an id of its own, so
+    several ingests may feed one dataset, and one that lost its checkpoint starts anew.
+    """
+    own = Manifest(catalog.spark, f"{checkpoint}/_source")
+    scope = own.update(lambda c: c or {"id": uuid.uuid4().hex})["id"]
 
     def write(batch: DataFrame, no: int) -> None:
-        catalog.write(path, transform(batch) if transform else batch, mode=mode, stream=f"batch-{no:012d}")
+        catalog.write(path, transform(batch) if transform else batch, mode=mode, batch=(scope, no))
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -47,3 +57,71 @@ def run_scheduled(catalog: Catalog, text: str, sink: str, base: str = "/", **opt
     from ..lang.compiler import query
 
     return catalog.write(sink, query(catalog.spark, text, {}, base, catalog.resolve, **options), mode="replace")
+
+
+#: Least and greatest values of the five fields: minute, hour, day of month, month, day of week (0 and 7 are Sunday).
+_FIELDS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+
+
+class Cron:
+    """A repetition in five fields, each *, a value, a range a-b, a list, or one of these with /step."""
+
+    def __init__(self, text: str):
+        parts = text.split()
+        if len(parts) != 5:
+            raise SetwiseError(f"five fields, not {len(parts)}: {text}")
+        self.any = [p[0] in "*?" for p in parts]
+        self.sets = [self._field(p, *b) for p, b in zip(parts, _FIELDS)]
+        self.sets[4] = {x % 7 for x in self.sets[4]}
+
+    @staticmethod
+    def _field(text: str, lo: int, hi: int) -> set[int]:
+        out: set[int] = set()
+        for item in text.split(","):
+            span, _, step = item.partition("/")
+            a, dash, b = span.partition("-")
+            try:
+                first, last = (lo, hi) if span in ("*", "?") else (int(a), int(b) if dash else hi if step else int(a))
+                out |= set(range(first, last + 1, int(step or 1)))
+            except ValueError:
+                raise SetwiseError(f"no repetition: {text}") from None
+        if not out or min(out) < lo or max(out) > hi:
+            raise SetwiseError(f"out of range: {text}")
+        return out
+
+    def after(self, t: datetime) -> datetime:
+        """The first time after t that fits; if both days are given, either may fit."""
+        t = t.replace(second=0, microsecond=0) + timedelta(minutes=1)
+        end = t + timedelta(days=366 * 9)
+        while t < end:
+            day, week = t.day in self.sets[2], (t.weekday() + 1) % 7 in self.sets[4]
+            if t.month not in self.sets[3] or not (day and week if any((self.any[2], self.any[4])) else day or week):
+                t = t.replace(hour=0, minute=0) + timedelta(days=1)
+            elif t.hour not in self.sets[1]:
+                t = t.replace(minute=0) + timedelta(hours=1)
+            elif t.minute not in self.sets[0]:
+                t += timedelta(minutes=1)
+            else:
+                return t
+        raise SetwiseError("never")
+
+
+class Schedule:
+    """Queries that are due at times; run_due() runs each that is due once, whatever was missed."""
+
+    def __init__(self, catalog: Catalog):
+        self.catalog, self.tasks = catalog, {}
+
+    def add(self, name: str, cron: str, text: str, sink: str, now: datetime, **options) -> None:
+        c = Cron(cron)
+        self.tasks[name] = [c, text, sink, options, c.after(now)]
+
+    def run_due(self, now: datetime) -> list[str]:
+        """Names of the tasks that ran."""
+        ran = []
+        for name, task in self.tasks.items():
+            if task[4] <= now:
+                run_scheduled(self.catalog, task[1], task[2], **task[3])
+                task[4] = task[0].after(now)
+                ran.append(name)
+        return ran

@@ -77,6 +77,9 @@ def test_result_cache(spark, tmp_path):
     assert cache.get("q", make, max_age=60, now=1030.0).count() == 1
     assert cache.get("q", make, max_age=60, now=1100.0).count() == 2
     assert cache.get("q", make, now=1101.0).count() == 3
+    assert cache.get("q", make, max_age=60, now=1150.0, recache_after=30).count() == 3
+    cache.renewal.join()
+    assert cache.get("q", make, max_age=60, now=1155.0, recache_after=30).count() == 4
 
 
 def test_renderings(spark, tmp_path):
@@ -114,6 +117,96 @@ def test_stream_ingest_resumes(spark, tmp_path):
     assert sorted(r.id for r in c.read("/s").collect()) == list(range(8))
 
 
+def test_two_ingests_into_one_dataset(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/cat5")
+    spark.range(10, 15).write.parquet(f"{tmp_path}/a/p")
+    spark.range(20, 25).write.parquet(f"{tmp_path}/b/p")
+    run = lambda s, chk: streams.ingest(streams.stream_files(spark, f"{tmp_path}/{s}/*", "id bigint"), c, "/t", f"{tmp_path}/{chk}").awaitTermination()
+    run("a", "ca")
+    run("b", "cb")
+    assert sorted(r.id for r in c.read("/t").collect()) == [*range(10, 15), *range(20, 25)]
+    assert c.cook("/t") == 2 and len(c.streams("/t")) == 1
+    run("a", "ca")
+    assert c.read("/t").count() == 10 and c.clean("/t") == 2 and c.read("/t").count() == 10
+
+
+def test_readers_during_a_replacement(spark, tmp_path):
+    """A reader sees the old content until the new manifest is there, and a reader's plan made before still runs after."""
+    c = Catalog(spark, f"file://{tmp_path}/cat6")
+    c.write("/r", spark.range(3), "create")
+    before = c.read("/r")
+    seen = []
+    publish = c.manifest("/r").publish
+    import setwise.manifest as mf
+
+    old = mf.Manifest.publish
+    try:
+        mf.Manifest.publish = lambda self, v, x: (seen.append(Catalog(spark, c.root).read("/r").count()), old(self, v, x))[1]
+        c.write("/r", spark.range(7), "replace")
+    finally:
+        mf.Manifest.publish = old
+    assert publish and seen == [3] and c.read("/r").count() == 7 and before.count() == 3
+    c.write("/r", spark.range(2), "replace", stream="s", terminal=False)
+    assert c.read("/r").count() == 7
+    c.write("/r", spark.range(4), "replace", stream="s")
+    assert c.read("/r").count() == 6
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from setwise.manifest import Manifest
+
+    m = Manifest(spark, f"file://{tmp_path}/m")
+    assert m.latest() == (0, {}) and m.publish(1, {"a": 1}) and not m.publish(1, {"a": 2})
+    assert m.latest() == (1, {"a": 1})
+    for i in range(15):
+        m.update(lambda c: {"a": c["a"] + 1})
+    assert m.latest() == (16, {"a": 16}) and len(m.versions()) <= 11
+
+
+def test_files_and_schedules(spark, tmp_path):
+    import datetime as dt
+
+    c = Catalog(spark, f"file://{tmp_path}/cat7")
+    c.put_file("/pic", put(tmp_path, "x.bin", "abc"), "image/png")
+    assert c.get_file("/pic") == (b"abc", "image/png") and c.children("/") == ["pic"]
+    t = dt.datetime(2024, 1, 31, 23, 59)
+    assert streams.Cron("*/15 * * * *").after(t) == dt.datetime(2024, 2, 1)
+    assert streams.Cron("30 4 1,15 * 5").after(t) == dt.datetime(2024, 2, 1, 4, 30) and streams.Cron("0 0 29 2 *").after(dt.datetime(2024, 3, 1)) == dt.datetime(2028, 2, 29)
+    for bad in ("* * *", "61 * * * *", "a * * * *"):
+        with pytest.raises(SetwiseError):
+            streams.Cron(bad)
+    c.write("/n", spark.range(4).withColumnRenamed("id", "v"))
+    s = streams.Schedule(c)
+    s.add("q", "0 * * * *", "n := //n {d: n.v * 2}", "/out", t)
+    assert s.run_due(t) == [] and s.run_due(dt.datetime(2024, 2, 1, 0, 0)) == ["q"] and s.run_due(dt.datetime(2024, 2, 1, 0, 30)) == []
+    assert c.read("/out").count() == 4
+
+
+def test_enrichment_in_the_language(spark):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            rows = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["data"]
+            body = json.dumps({"data": [None if r["v"] == 2 else {"sq": r["v"] ** 2} for r in rows]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    srv = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=srv.serve_forever, daemon=True).start()
+    from setwise.operators.sets import Table
+
+    n = Table(spark.range(4).withColumnRenamed("id", "v"), ("v",))
+    got = query(spark, f'n := //n e := remote::enrich({{v: n.v}}, {{url: "http://127.0.0.1:{srv.server_port}/"}}) {{k: n.v, s: e.sq}}', {"/n": n}).collect()
+    srv.shutdown()
+    assert sorted((r.k, r.s.toPython()) for r in got) == [(0, 0), (1, 1), (3, 9)]
+
+
 def test_stream_windows(spark, tmp_path):
     rows = spark.sql("select timestamp'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 40) as ts, id % 2 as k from range(10)")
     rows.write.parquet(f"{tmp_path}/w/p")
