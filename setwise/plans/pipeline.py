@@ -111,6 +111,34 @@ down as (
   select t.entity, t.node, d.root_id, d.depth + 1, d.path || '/' || t.node_id
   from tree t join down d on t.entity = d.entity and t.parent = d.node)"""
 
+# Each step of the recursion takes one field off a line: a quoted one by its dialect's pattern, any other up to the delimiter.
+_LINES = r"""
+dialect as (
+  select ingest_no, delimiter as d, quote_char as q, column_types as types, len(column_names) as width,
+    '^' || q || '((?:[^' || q || e || ']|' || q || q || case when escape_char = quote_char then '' else '|' || e || '[' || q || e || ']|' || e || '[^' || q || e || ']' end || ')*)' || q as quoted
+  from (select *, regexp_escape(quote_char) as q, regexp_escape(escape_char) as e from (select distinct ingest_no, delimiter, quote_char, escape_char, column_names, column_types from ingest_batches))),
+cut as (
+  select distinct l.ingest_no, l.line_no, regexp_replace(coalesce(raw_line, ''), '\r$', '') as line, d.* exclude (ingest_no) from ingest_lines l join dialect d on l.ingest_no = d.ingest_no),
+step as (
+  select ingest_no, line_no, line as rest, d, q, quoted, types, width, cast([] as varchar[]) as vals, false as done, false as bad from cut
+  union all
+  select ingest_no, line_no, case when closes then substr(tail, length(d) + 1) else '' end, d, q, quoted, types, width, list_append(vals, val), not closes, tail <> '' and not closes
+  from (
+    select *, starts_with(tail, d) as closes from (
+      select *, case when whole then regexp_extract(rest, quoted, 1) when starts_with(rest, q) then '' when contains(rest, d) then split_part(rest, d, 1) else rest end as val,
+        case when whole then substr(rest, length(regexp_extract(rest, quoted, 0)) + 1) when starts_with(rest, q) then 'unclosed' when contains(rest, d) then substr(rest, length(split_part(rest, d, 1)) + 1) else '' end as tail
+      from (select *, starts_with(rest, q) and regexp_matches(rest, quoted, 's') as whole from step where not done)))),
+split as (select * from step where done),
+judged as (
+  select distinct ingest_no, line_no, case when bad then 'quoting' when len(vals) <> width then 'columns'
+    when len(list_filter(list_zip(list_transform(vals, lambda v: regexp_replace(regexp_replace(v, '^\s+', ''), '\s+$', '')), types), lambda p: p[1] <> '' and not case p[2]
+      when 'long' then regexp_full_match(p[1], '-?[0-9]+') and try_cast(p[1] as bigint) is not null
+      when 'double' then regexp_full_match(p[1], '-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?')
+      when 'boolean' then lower(p[1]) in ('true', 'false')
+      when 'timestamp' then regexp_full_match(p[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z?') and try_cast(p[1][1:10] as date) is not null
+      else true end)) > 0 then 'value' end as reason
+  from split)"""
+
 _ORPHANS = """
 refs as (
   select 'api_keys' as ref_table, api_key as row_id, 'g' as t, unnest(grants) as k, created_at as cur from api_keys
@@ -212,6 +240,12 @@ up as (
 select u.entity, a.node_id, b.node_id as descendant_id
 from up u join tree a on a.entity = u.entity and a.node = u.cur join tree b on b.entity = u.entity and b.node = u.origin
 where exists (select 1 from down d where d.entity = u.entity and d.node = u.origin)""",
+    "p4_found": f"with recursive {_LINES} select * from judged where reason is not null",
+    "p4_results": f"""
+with recursive {_LINES}
+select b.ingest_no, count(j.line_no) as total, count(case when j.line_no is not null and reason is null then 1 end) as ingested,
+  count(case when reason = 'quoting' then 1 end) as quoting, count(case when reason = 'columns' then 1 end) as columns, count(case when reason = 'value' then 1 end) as value
+from (select distinct ingest_no from ingest_batches) b left join judged j on j.ingest_no = b.ingest_no group by 1""",
     "p5_found": f"""
 select delivery_id from (
   select delivery_id, row_number() over (partition by agent_id, off order by delivered_at, delivery_id) as rn

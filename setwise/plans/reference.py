@@ -5,14 +5,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import values as V
 from ..lang.compiler import query
+from ..operators import projection as P
 from ..operators import tables
 from ..operators.sets import Table
 from ..scale import shared_dir
 from ..session import table
+from ..sources import readers, sinks
+from ..sources.catalog import Catalog
 from ..streaming import ingest
 
 #: Tables and their keys; lineitem has none, so its rows are numbered where identities are needed.
@@ -112,8 +117,8 @@ SPECS: dict[str, tuple] = {
     "count_distinct": ("count(distinct((//lineitem).l_suppkey))", "select count(distinct l_suppkey) as value from lineitem"),
     "filter_by_statistics": ("e := //events  e.event_id where e.value > mean(e.value) + 2 * stdDev(e.value)", "select event_id as value from events where value > (select avg(value) + 2 * stddev_pop(value) from events)"),
     "filtered_distinct_count": (
-        "import std::time::* e := //events  count(distinct(e.user_id where e.event_type = \"click\" & getMillis(e.ts) >= getMillis(minTime(e.ts))))",
-        "select count(distinct user_id) as value from events where event_type = 'click'",
+        'import std::time::* e := //events  count(distinct(e.user_id where e.event_type = "click" & getMillis(e.ts) > getMillis("2024-01-08") & getMillis(e.ts) < getMillis("2024-01-15")))',
+        "select count(distinct user_id) as value from events where event_type = 'click' and ts >= timestamp '2024-01-08 00:00:00.001' and ts < timestamp '2024-01-15'",
     ),
     # --- solve ---------------------------------------------------------------------------------------
     "solve_count": ("o := //orders solve 'p {priority: 'p, n: count(o where o.o_orderpriority = 'p)}", "select o_orderpriority as priority, count(*) as n from orders group by 1"),
@@ -160,8 +165,45 @@ SPECS: dict[str, tuple] = {
         "select cast(k as bigint) as k, count(*) as n from (select n_nationkey as k, n_nationkey as i from nation union select n_regionkey, n_nationkey from nation) group by 1",
     ),
     "hourly_funnel": (
-        "import std::time::* e := //events solve 'h g := e where dateHour(e.ts) = 'h {hour: 'h, clicks: count(g where g.event_type = \"click\"), views: count(g where g.event_type = \"view\"), users: count(g.user_id)}",
-        "select strftime(ts, '%Y-%m-%dT%H') as hour, count(case when event_type = 'click' then 1 end) as clicks, count(case when event_type = 'view' then 1 end) as views, count(user_id) as users from events group by 1",
+        "import std::time::* e := //events r := e where getMillis(e.ts) > getMillis(\"2024-01-03\") & getMillis(e.ts) < getMillis(\"2024-01-10\") solve 'h g := r where dateHour(r.ts) = 'h "
+        "{hour: 'h, views: count(g.event_type where g.event_type = \"view\"), clicks: count(g.event_type where g.event_type = \"click\"), buys: count(g.event_type where g.event_type = \"purchase\"), "
+        "total: count(g.event_type), users: count(distinct(g.user_id where g.event_type = \"purchase\"))}",
+        "select strftime(ts, '%Y-%m-%dT%H') as hour, count(case when event_type = 'view' then 1 end) as views, count(case when event_type = 'click' then 1 end) as clicks, count(case when event_type = 'purchase' then 1 end) as buys, "
+        "count(event_type) as total, count(distinct case when event_type = 'purchase' then user_id end) as users from events where ts >= timestamp '2024-01-03 00:00:00.001' and ts < timestamp '2024-01-10' group by 1",
+    ),
+    # --- functions of whole sets inside a solve run for each key ---------------------------------------------
+    "solve_distinct": ("l := //lineitem solve 's g := l where l.l_suppkey = 's {s: 's, parts: count(distinct(g.l_partkey)), qty: sum(distinct(g.l_quantity)), n: count(g)}", "select l_suppkey as s, count(distinct l_partkey) as parts, sum(distinct l_quantity) as qty, count(*) as n from lineitem group by 1"),
+    "solve_distinct_values": ("l := //lineitem solve 'f g := l where l.l_returnflag = 'f {f: 'f, n: distinct(g.l_linenumber)}", "select distinct l_returnflag as f, cast(l_linenumber as bigint) as n from lineitem"),
+    "solve_new": ("o := //orders solve 'c g := o where o.o_custkey = 'c {c: 'c, n: count(new g.o_totalprice)}", "select o_custkey as c, count(o_totalprice) as n from orders group by 1"),
+    "solve_mode": (
+        "l := //lineitem solve 's g := l where l.l_suppkey = 's {s: 's, m: mode(g.l_linenumber)}",
+        "with c as (select l_suppkey as s, l_linenumber as m, count(*) as n from lineitem group by 1, 2) select s, cast(m as bigint) as m from c where n = (select max(n) from c d where d.s = c.s)",
+    ),
+    "solve_rank": (
+        "import std::stats::* o := //orders solve 'c g := o where o.o_custkey = 'c {k: g.o_orderkey, r: rank(g.o_orderstatus), d: denseRank(g.o_orderstatus), i: indexedRank(g.o_orderstatus)}",
+        "select o_orderkey as k, rank() over w - 1 as r, dense_rank() over w - 1 as d, row_number() over (partition by o_custkey order by o_orderstatus, o_orderkey) - 1 as i from orders window w as (partition by o_custkey order by o_orderstatus)",
+    ),
+    "solve_dummy": ("import std::stats::* n := //nation solve 'r g := n where n.n_regionkey = 'r d := dummy(g.n_nationkey) {k: g.n_nationkey, a: d[0], b: d[1]}", "select cast(n_nationkey as bigint) as k, cast(i = 1 as bigint) as a, cast(i = 2 as bigint) as b from (select n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) as i from nation)"),
+    "solve_smoothing": (
+        "import std::math::* import std::stats::* o := //orders solve 'c g := o where o.o_custkey = 'c {k: g.o_orderkey, s: roundTo(simpleExpSmoothing({by: g.o_orderkey, smooth: g.o_totalprice / 7}, 0.3), 3), d: roundTo(doubleExpSmoothing({by: g.o_orderkey, smooth: g.o_totalprice / 7}, {alpha: 0.4, beta: 0.2}), 3)}",
+        "with recursive o as (select row_number() over w as i, lead(o_totalprice / 7) over w as nx, o_custkey as c, o_orderkey as k, o_totalprice / 7 as x from orders window w as (partition by o_custkey order by o_orderkey)), "
+        "s as (select i, c, k, x as s, x as d, coalesce(nx - x, 0) as b from o where i = 1 union all select o.i, o.c, o.k, 0.3::double * o.x + 0.7::double * s.s, 0.4::double * o.x + 0.6::double * (s.d + s.b), "
+        "0.2::double * (0.4::double * o.x + 0.6::double * (s.d + s.b) - s.d) + 0.8::double * s.b from s join o on o.c = s.c and o.i = s.i + 1) select k, floor(s * 1e3 + 0.5) / 1e3 as s, floor(d * 1e3 + 0.5) / 1e3 as d from s",
+    ),
+    "solve_regression": (
+        "import std::math::* import std::stats::* l := //lineitem solve 'f g := l where l.l_returnflag = 'f m := linearRegression(g.l_extendedprice, {q: g.l_quantity}) c := m.model1.coefficients {f: 'f, q: roundTo(c[0].q.estimate, 3), i: roundTo(c[1].estimate, 1), r: roundTo(m.model1.RSquared, 6)}",
+        "select l_returnflag as f, floor(regr_slope(l_extendedprice, l_quantity) * 1e3 + 0.5) / 1e3 as q, floor(regr_intercept(l_extendedprice, l_quantity) * 10 + 0.5) / 10 as i, floor(regr_r2(l_extendedprice, l_quantity) * 1e6 + 0.5) / 1e6 as r from lineitem group by 1",
+    ),
+    "solve_union": ("n := //nation solve 'r g := n where n.n_regionkey = 'r {r: 'r, n: count(distinct(g.n_name union (//region).r_name))}", "select cast(n_regionkey as bigint) as r, count(distinct n_name) + (select count(distinct r_name) from region) as n from nation group by 1"),
+    "solve_nested": ("o := //orders solve 'p g := o where o.o_orderpriority = 'p solve 's h := g where g.o_orderstatus = 's {p: 'p, s: 's, n: count(h)}", "select o_orderpriority as p, o_orderstatus as s, count(*) as n from orders group by 1, 2"),
+    "solve_nested_reduced": (
+        "o := //orders solve 'p g := o where o.o_orderpriority = 'p per := solve 'c {c: 'c, n: count(g where g.o_custkey = 'c)} {p: 'p, customers: count(per), most: max(per.n)}",
+        "select p, count(*) as customers, max(n) as most from (select o_orderpriority as p, o_custkey as c, count(*) as n from orders group by 1, 2) group by 1",
+    ),
+    "solve_whole_group": ("n := //nation solve 'r g := n where n.n_regionkey = 'r g", "select cast(n_nationkey as bigint) as n_nationkey, n_name, cast(n_regionkey as bigint) as n_regionkey from nation"),
+    "solve_sliding_window": (
+        "import std::stats::* o := //orders t := o with {i: indexedRank(o.o_orderkey)} u := new t  t ~ u {k: t.o_orderkey, step: u.o_totalprice - t.o_totalprice} where u.i = t.i + 1",
+        "select * from (select o_orderkey as k, lead(o_totalprice) over (order by o_orderkey) - o_totalprice as step from orders) where step is not null",
     ),
     # --- ranks, order, options ---------------------------------------------------------------------------
     "rank": ("import std::stats::* o := //orders {k: o.o_orderkey, r: rank(o.o_custkey)}", "select o_orderkey as k, rank() over (order by o_custkey) - 1 as r from orders"),
@@ -171,9 +213,10 @@ SPECS: dict[str, tuple] = {
     "top_k": ("import std::stats::* o := //orders o.o_orderkey where rank(neg o.o_totalprice) < 5", "select o_orderkey as value from (select o_orderkey, rank() over (order by -o_totalprice) - 1 as r from orders) where r < 5"),
     "dummy": ("import std::stats::* r := //region d := dummy(r.r_regionkey) {k: r.r_regionkey, a: d[0], b: d[1]}", "select cast(r_regionkey as bigint) as k, cast(r_regionkey = 0 as bigint) as a, cast(r_regionkey = 1 as bigint) as b from region"),
     "options_sort_page": ("o := //orders {k: o.o_orderkey, t: o.o_totalprice}", "select o_orderkey as k, o_totalprice as t from orders order by t desc, k desc limit 10 offset 5", {"sort_on": ["t", "k"], "descending": True, "limit": 10, "skip": 5}),
-    "smoothing_simple": (
-        "import std::math::* import std::stats::* n := //nation {k: n.n_nationkey, s: roundTo(simpleExpSmoothing({by: n.n_nationkey, smooth: n.n_regionkey}, 0.3), 6)}",
-        "with recursive o as (select row_number() over (order by n_nationkey) as i, n_nationkey as k, n_regionkey * 1.0::double as x from nation), s as (select i, k, x as s from o where i = 1 union all select o.i, o.k, 0.3::double * o.x + 0.7::double * s.s from s join o on o.i = s.i + 1) select cast(k as bigint) as k, floor(s * 1e6 + 0.5) / 1e6 as s from s",
+    "smoothing_simple": (  # beyond 200 steps back, a value weighs less than a double's last digit
+        "import std::math::* import std::stats::* o := //orders {k: o.o_orderkey, s: roundTo(simpleExpSmoothing({by: o.o_orderkey, smooth: o.o_totalprice / 7}, 0.3), 3)}",
+        "with o as (select row_number() over (order by o_orderkey) as i, o_orderkey as k, o_totalprice / 7 as x from orders) "
+        "select a.k, floor(sum(case when b.i = 1 then 1 else 0.3::double end * 0.7::double ** (a.i - b.i) * b.x) * 1e3 + 0.5) / 1e3 as s from o a join o b on b.i between a.i - 200 and a.i group by a.k",
     ),
     "smoothing_double": (
         "import std::math::* import std::stats::* n := //nation {k: n.n_nationkey, s: roundTo(doubleExpSmoothing({by: n.n_nationkey, smooth: n.n_regionkey}, {alpha: 0.4, beta: 0.2}), 6)}",
@@ -195,12 +238,23 @@ SPECS: dict[str, tuple] = {
         "import std::math::* import std::stats::* l := //lineitem m := linearRegression(l.l_extendedprice, {q: l.l_quantity}) c := m.model1.coefficients {q: roundTo(c[0].q.estimate, 3), i: roundTo(c[1].estimate, 1), r: roundTo(m.model1.RSquared, 6)}",
         "select floor(regr_slope(l_extendedprice, l_quantity) * 1e3 + 0.5) / 1e3 as q, floor(regr_intercept(l_extendedprice, l_quantity) * 10 + 0.5) / 10 as i, floor(regr_r2(l_extendedprice, l_quantity) * 1e6 + 0.5) / 1e6 as r from lineitem",
     ),
+    "predict_linear_bands": (  # half widths, without the quantile: their squares differ by the residual variance
+        "import std::math::* import std::stats::* l := //lineitem m := linearRegression(l.l_extendedprice, {q: l.l_quantity}) p := predictLinear({q: l.l_quantity}, m) "
+        "c := p.model1.confidenceInterval w := p.model1.predictionInterval {k: l.l_orderkey, mid: roundTo((c[0] + c[1]) / 2, 1), ratio: roundTo((((w[1] - w[0]) ^ 2) - ((c[1] - c[0]) ^ 2)) / ((c[1] - c[0]) ^ 2), 0)}",
+        "with f as (select regr_slope(l_extendedprice, l_quantity) as a, regr_intercept(l_extendedprice, l_quantity) as b, count(*) as n, avg(l_quantity) as mx, regr_sxx(l_extendedprice, l_quantity) as sxx from lineitem) "
+        "select l_orderkey as k, floor((l_quantity * a + b) * 10 + 0.5) / 10 as mid, floor(1 / (1 / n + (l_quantity - mx) ** 2 / sxx) + 0.5) as ratio from lineitem, f",
+    ),
     "predict_linear": (
         "import std::math::* import std::stats::* l := //lineitem m := linearRegression(l.l_extendedprice, {q: l.l_quantity}) p := predictLinear({q: l.l_quantity}, m) {k: l.l_orderkey, f: roundTo(p.model1.fit, 1)}",
         "select l_orderkey as k, floor((l_quantity * (select regr_slope(l_extendedprice, l_quantity) from lineitem) + (select regr_intercept(l_extendedprice, l_quantity) from lineitem)) * 10 + 0.5) / 10 as f from lineitem",
     ),
     "logistic_regression": ('import std::stats::* l := //lineitem m := logisticRegression(if l.l_returnflag = "A" then 1 else 0, {q: l.l_quantity, d: l.l_discount}) c := m.model1.coefficients {q: c[0].q.estimate, d: c[0].d.estimate, i: c[1].estimate}', None),
     "predict_logistic": ('import std::stats::* l := //lineitem m := logisticRegression(if l.l_quantity > 25 then 1 else 0, {t: l.l_extendedprice / 1000}) p := predictLogistic({t: l.l_extendedprice / 1000}, m) {k: l.l_orderkey, f: p.model1.fit}', None),
+    "logistic_gradient": (  # at the optimum the gradient vanishes
+        'import std::math::* import std::stats::* l := //lineitem y := if l.l_returnflag = "A" then 1 else 0 m := logisticRegression(y, {q: l.l_quantity, d: l.l_discount}) e := y - predictLogistic({q: l.l_quantity, d: l.l_discount}, m).model1.fit '
+        "{n: count(e), c: abs(sum(e)) < 0.001, q: abs(sum(e * l.l_quantity)) < 0.01, d: abs(sum(e * l.l_discount)) < 0.001}",
+        "select count(*) as n, true as c, true as q, true as d from lineitem",
+    ),
     "k_medians": ("import std::stats::* e := //embeddings v := e.embedding m := kMedians({a: v[0], b: v[1]}, 3) {c: m.model1.cluster1, d: m.model1.cluster2}", None),
     "assign_clusters": ("import std::stats::* e := //embeddings f := {a: e.embedding[0], b: e.embedding[1]} m := kMedians(f, 3) x := assignClusters(f, m) {k: e.vec_id, c: x.model1.clusterId}", None),
     "rf_classification": ("import std::stats::* e := //embeddings f := {a: e.embedding[0], b: e.embedding[1]} r := rfClassification({predictors: f, dependent: e.label}, f) {k: e.vec_id, y: r.model1}", None),
@@ -210,7 +264,10 @@ SPECS: dict[str, tuple] = {
     "flatten_count": ("count(flatten((//embeddings).embedding))", "select cast(sum(len(embedding)) as bigint) as value from embeddings"),
     "array_equality": ("a := [1, 2] n := //nation count(n where [n.n_regionkey, n.n_regionkey + 1] = a)", "select count(*) as value from nation where n_regionkey = 1"),
     "observe_uniform": ("o := //orders r := observe(o, std::random::uniform(42)) {k: o.o_orderkey, u: r}", None),
-    "observe_in_range": ("o := //orders r := observe(o, std::random::uniform(7)) forall(r >= 0 & r < 1)", "select true as value"),
+    "observe_in_range": (
+        "import std::math::* o := //orders r := observe(o, std::random::uniform(7)) {n: count(r), different: count(distinct(r)), inside: forall(r >= 0 & r < 1), middle: abs(mean(r) - 0.5) < 0.02, spread: abs(variance(r) - 1 / 12) < 0.01}",
+        "select count(*) as n, count(*) as different, true as inside, true as middle, true as spread from orders",
+    ),
     "schema_types": ("import std::type::* c := //customer {a: isNumber(c.c_custkey), b: isString(c.c_name), c: isNull(c.c_name), d: isObject(c), e: isArray(c.c_name), f: isBoolean(c.c_name = \"x\")}", "select true as a, true as b, false as c, true as d, false as e, true as f from customer"),
     # --- infix and mathematics ---------------------------------------------------------------------------------------
     "infix_arithmetic": (
@@ -290,6 +347,19 @@ SPECS: dict[str, tuple] = {
         "import std::time::* e := //events a := e.ts b := minTime(e.ts) {k: e.event_id, w: weeksBetween(b, a), d: daysBetween(b, a), h: hoursBetween(b, a), m: minutesBetween(b, a), s: secondsBetween(a, b)}",
         "with x as (select event_id as k, epoch_us(ts) - (select min(epoch_us(ts)) from events) as u from events) select k, u // 604800000000 as w, u // 86400000000 as d, u // 3600000000 as h, u // 60000000 as m, -(u // 1000000) as s from x",
     ),
+    "time_between_calendar": (
+        "import std::time::* o := //orders a := minTime(o.o_orderdate) b := o.o_orderdate {k: o.o_orderkey, y: yearsBetween(a, b), m: monthsBetween(a, b), i: millisBetween(a, b)}",
+        "with x as (select o_orderkey, o_orderdate as b, (select min(o_orderdate) from orders) as a from orders) select o_orderkey as k, datesub('year', a, b) as y, datesub('month', a, b) as m, epoch_ms(b) - epoch_ms(a) as i from x",
+    ),
+    "time_old_names": (
+        "import std::time::* e := //events t := e.ts {k: e.event_id, a: dateHourMinSec(t), b: dateHourMinSecMilli(t), c: hourMinSec(t)}",
+        "with x as (select event_id, ts, lpad(cast(cast(floor(epoch_us(ts) / 1000) as bigint) % 1000 as varchar), 3, '0') as ms from events) select event_id as k, strftime(ts, '%Y-%m-%dT%H:%M:%S') as a, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || ms as b, strftime(ts, '%H:%M:%S') as c from x",
+    ),
+    "time_fuzzy": ('import std::time::* import std::string::* o := //orders s := concat(date(o.o_orderdate), " 10:30:00") {k: o.o_orderkey, a: dateHourMinute(parseDateTimeFuzzy(s))}', "select o_orderkey as k, strftime(o_orderdate, '%Y-%m-%dT') || '10:30' as a from orders"),
+    "string_compare_old": (
+        'import std::string::* p := //part {k: p.p_partkey, a: compareTo(p.p_brand, "Brand#11"), b: compareIgnoreCase(p.p_brand, "BRAND#11"), c: compareToIgnoreCase(p.p_brand, "BRAND#11")}',
+        "with t as (select p_partkey as k, cast(case when p_brand = 'Brand#11' then 0 when p_brand[7] <> '1' then ord(p_brand[7]) - ord('1') when length(p_brand) >= 8 and p_brand[8] <> '1' then ord(p_brand[8]) - ord('1') else length(p_brand) - 8 end as bigint) as e from part) select k, e as a, e as b, e as c from t",
+    ),
     "time_season": ("import std::time::* o := //orders {k: o.o_orderkey, s: season(o.o_orderdate)}", "select o_orderkey as k, case when dayofyear(o_orderdate) >= 79 and dayofyear(o_orderdate) < 171 then 'spring' when dayofyear(o_orderdate) >= 171 and dayofyear(o_orderdate) < 265 then 'summer' when dayofyear(o_orderdate) >= 265 and dayofyear(o_orderdate) < 355 then 'fall' else 'winter' end as s from orders"),
     "time_parse": (
         'import std::time::* import std::string::* o := //orders s := date(o.o_orderdate) t := parseDateTime(s, "yyyy-MM-dd") {k: o.o_orderkey, same: getMillis(t) = getMillis(s), z: timeZone(concat(s, "T10:00:00+02:00")), h: hourOfDay(concat(s, "T10:00:00+02:00"))}',
@@ -319,7 +389,61 @@ def _cogroup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _align(spark: SparkSession, d: str) -> DataFrame:
-    return tables.align(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct(), ["k"])[0]
+    """Both halves of the pair, told apart by side."""
+    a, b = tables.align(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v")), ["k"])
+    return a.withColumn("side", F.lit("left")).unionByName(b.withColumn("side", F.lit("right")))
+
+
+def _group_by_n(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each row in both of two orders of one table."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    by_name, by_key = tables.group_by_n(n, [[F.col("n_name")], [F.desc("n_nationkey")]])
+    at = lambda df, c: df.select("n_nationkey", F.monotonically_increasing_id().alias("_m")).select("n_nationkey", F.row_number().over(Window.orderBy("_m")).alias(c))
+    return at(by_name, "by_name").join(at(by_key, "by_key"), "n_nationkey")
+
+
+def _compact(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "author")
+    return tables.compact(docs, ["lang", "author"]).select("doc_id")
+
+
+def _partition_merge(spark: SparkSession, d: str) -> DataFrame:
+    return tables.partition_merge(table(spark, d, "lineitem"), ["l_orderkey"], F.count("*").alias("n"), F.max("l_quantity").alias("most"))
+
+
+def _concat(spark: SparkSession, d: str) -> DataFrame:
+    n, r = table(spark, d, "nation").select(F.col("n_name").alias("name"), "n_nationkey"), table(spark, d, "region").select(F.col("r_name").alias("name"))
+    return tables.concat(n, r, r)
+
+
+def _unique_sort(spark: SparkSession, d: str) -> DataFrame:
+    return tables.sort(table(spark, d, "orders").select("o_orderkey", "o_custkey"), [F.col("o_custkey")], unique=True, ids=["o_orderkey"])
+
+
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    """Objects and arrays put together, taken apart and swapped by the row projections."""
+    n = table(spark, d, "nation")
+    a = P.wrap_object(V.of_column(F.col("n_nationkey"), T.IntegerType()), "k")
+    b = P.wrap_object(V.of_column(F.col("n_name"), T.StringType()), "n")
+    both = P.inner_object_concat(a, b)
+    arr = P.inner_array_concat(P.wrap_array(V.of_column(F.col("n_nationkey"), T.IntegerType())), P.wrap_array(V.of_column(F.col("n_name"), T.StringType())))
+    gone = P.object_delete(both, "k")
+    swapped = P.array_swap(arr, 1)
+    return n.select(F.col("n_nationkey").alias("k"), V.deref(gone, "n").col.alias("n"), V.variant(swapped.items[0]).cast("string").alias("first"), V.variant(swapped.items[1]).cast("int").alias("second"))
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """orders written as CSV, read back with inferred types into a catalog, and queried through a glob."""
+    root = f"{shared_dir(spark)}/catalogs/{uuid.uuid4().hex}"
+    sinks.write_csv(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), f"{root}/csv")
+    sinks.write_json(table(spark, d, "nation").select("n_nationkey", "n_name"), f"{root}/json")
+    c = Catalog(spark, f"{root}/data")
+    c.ingest_file("/in/orders", f"{root}/csv")
+    good, _ = readers.read_csv(spark, f"{root}/csv")
+    c.write("/in/again", good.select("o_orderkey"))
+    nation = readers.read_json(spark, f"{root}/json", schema="n_nationkey int, n_name string")[0]
+    c.write("/names", nation.select(F.col("n_nationkey").cast("double").alias("o_orderkey")))
+    return query(spark, "o := //in/* n := //names {n: count(o.o_orderkey), customers: count(distinct(o.o_custkey)), open: count(o where o.o_orderstatus = \"O\"), nations: count(n)}", {}, resolve=c.resolve)
 
 
 def _take_range(spark: SparkSession, d: str) -> DataFrame:
@@ -335,7 +459,13 @@ def _schemas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, d: str) -> DataFrame:
-    return tables.sample(table(spark, d, "orders"), 200, seed=5).agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+    """Two samples of one seed and one of another: their size, that they are rows of the table, and how they agree."""
+    o = table(spark, d, "orders")
+    a, b, c = (tables.sample(o, 200, seed=s).select("o_orderkey") for s in (5, 5, 6))
+    inside = a.join(o, "o_orderkey", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+    same = a.join(b, "o_orderkey").agg(F.count("*").alias("same"))
+    other = a.join(c, "o_orderkey").agg((F.count("*") < 100).alias("others_differ"))
+    return inside.crossJoin(same).crossJoin(other)
 
 
 def _scan(spark: SparkSession, d: str) -> DataFrame:
@@ -364,15 +494,23 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES.update({
     "q_table_cogroup": _cogroup, "q_table_align": _align, "q_table_take_range": _take_range, "q_table_zip": _zip, "q_table_schemas": _schemas, "q_table_sample": _sample,
+    "q_table_group_by_n": _group_by_n, "q_table_compact": _compact, "q_table_partition_merge": _partition_merge, "q_table_concat": _concat, "q_table_unique_sort": _unique_sort, "q_objects": _objects, "q_sources": _sources,
     "q_table_scan": _scan, "q_json_values": _json_values, "q_stream_windows": _stream,
 })
 ORACLE.update({
     "q_table_cogroup": "with o as (select o_custkey as k, count(*) as n from orders group by 1) select coalesce(c_custkey, k) as k, case when k is null then 0 when c_custkey is null then -1 else n end as n from customer full join o on c_custkey = k",
-    "q_table_align": "select c_custkey as k, c_name from customer where c_custkey in (select o_custkey from orders)",
+    "q_table_align": "select c_custkey as k, c_name as v, 'left' as side from customer where c_custkey in (select o_custkey from orders) union all select o_custkey, o_orderstatus, 'right' from orders where o_custkey in (select c_custkey from customer)",
+    "q_table_group_by_n": "select n_nationkey, cast(row_number() over (order by n_name) as int) as by_name, cast(row_number() over (order by n_nationkey desc) as int) as by_key from nation",
+    "q_table_compact": "select doc_id from documents where lang is not null or author is not null",
+    "q_table_partition_merge": "select l_orderkey, count(*) as n, max(l_quantity) as most from lineitem group by 1",
+    "q_table_concat": "select n_name as name, n_nationkey from nation union all select r_name, null from region union all select r_name, null from region",
+    "q_table_unique_sort": "select min(o_orderkey) as o_orderkey, o_custkey from orders group by o_custkey",
+    "q_objects": "select n_nationkey as k, n_name as n, n_name as first, n_nationkey as second from nation",
+    "q_sources": "select 2 * count(*) as n, count(distinct o_custkey) as customers, count(case when o_orderstatus = 'O' then 1 end) as open, (select count(*) from nation) as nations from orders",
     "q_table_take_range": "select o_orderkey from orders order by 1 limit 50 offset 100",
     "q_table_zip": "select n_name, c_custkey from (select n_name, row_number() over (order by n_name) as i from nation) join (select c_custkey, row_number() over (order by c_custkey) as i from customer) using (i)",
     "q_table_schemas": "select distinct 'OBJECT<k: BIGINT>' as schema from events where props is not null",
-    "q_table_sample": "select cast(least(200, count(*)) as bigint) as n, cast(least(200, count(*)) as bigint) as keys from orders",
+    "q_table_sample": "select least(200, count(*)) as n, least(200, count(*)) as keys, least(200, count(*)) as same, count(*) > 1000 as others_differ from orders",
     "q_table_scan": "select o_orderkey, o_custkey, cast(sum(o_custkey) over (order by o_orderkey) as bigint) as total from orders",
     "q_json_values": "select event_type as t, count(props->>'$.k') as n, max(cast(props->>'$.k' as double)) as top from events group by 1",
     "q_stream_windows": "select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2",

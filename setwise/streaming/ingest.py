@@ -64,15 +64,18 @@ _FIELDS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
 
 
 class Cron:
-    """A repetition in five fields, each *, a value, a range a-b, a list, or one of these with /step."""
+    """A repetition in five fields, each *, a value, a range a-b, a list, or one of these with /step; or in six, with seconds first and days of the week from 1, Sunday."""
 
     def __init__(self, text: str):
         parts = text.split()
-        if len(parts) != 5:
-            raise SetwiseError(f"five fields, not {len(parts)}: {text}")
+        if len(parts) not in (5, 6):
+            raise SetwiseError(f"five or six fields, not {len(parts)}: {text}")
+        first = 1 if len(parts) == 6 else 0
+        self.seconds = self._field(parts[0], 0, 59) if first else {0}
+        parts = parts[first:]
         self.any = [p[0] in "*?" for p in parts]
-        self.sets = [self._field(p, *b) for p, b in zip(parts, _FIELDS)]
-        self.sets[4] = {x % 7 for x in self.sets[4]}
+        self.sets = [self._field(p, *b) for p, b in zip(parts, _FIELDS[:4])]
+        self.sets.append({(x - first) % 7 for x in self._field(parts[4], first, 7)})
 
     @staticmethod
     def _field(text: str, lo: int, hi: int) -> set[int]:
@@ -91,20 +94,30 @@ class Cron:
 
     def after(self, t: datetime) -> datetime:
         """The first time after t that fits; if both days are given, either may fit."""
-        t = t.replace(second=0, microsecond=0) + timedelta(minutes=1)
+        later = [s for s in sorted(self.seconds) if s > t.second]
+        t = t.replace(second=0, microsecond=0)
+        if later and self._fits(t):
+            return t.replace(second=later[0])
+        t += timedelta(minutes=1)
         end = t + timedelta(days=366 * 9)
         while t < end:
-            day, week = t.day in self.sets[2], (t.weekday() + 1) % 7 in self.sets[4]
-            if t.month not in self.sets[3] or not (day and week if any((self.any[2], self.any[4])) else day or week):
+            if not self._day_fits(t):
                 t = t.replace(hour=0, minute=0) + timedelta(days=1)
             elif t.hour not in self.sets[1]:
                 t = t.replace(minute=0) + timedelta(hours=1)
             elif t.minute not in self.sets[0]:
                 t += timedelta(minutes=1)
             else:
-                return t
+                return t.replace(second=min(self.seconds))
         raise SetwiseError("never")
 
+    def _day_fits(self, t: datetime) -> bool:
+        day, week = t.day in self.sets[2], (t.weekday() + 1) % 7 in self.sets[4]
+        return t.month in self.sets[3] and (day and week if self.any[2] or self.any[4] else day or week)
+
+    def _fits(self, t: datetime) -> bool:
+        return self._day_fits(t) and t.hour in self.sets[1] and t.minute in self.sets[0]
+
 
 class Schedule:
     """Queries that are due at times; run_due() runs each that is due once, whatever was missed."""

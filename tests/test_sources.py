@@ -172,6 +172,8 @@ def test_files_and_schedules(spark, tmp_path):
     t = dt.datetime(2024, 1, 31, 23, 59)
     assert streams.Cron("*/15 * * * *").after(t) == dt.datetime(2024, 2, 1)
     assert streams.Cron("30 4 1,15 * 5").after(t) == dt.datetime(2024, 2, 1, 4, 30) and streams.Cron("0 0 29 2 *").after(dt.datetime(2024, 3, 1)) == dt.datetime(2028, 2, 29)
+    assert streams.Cron("0 37 13 * * ?").after(t) == dt.datetime(2024, 2, 1, 13, 37) and streams.Cron("5/20 * * * * ?").after(t.replace(second=5)) == t.replace(second=25)
+    assert streams.Cron("30 0 12 ? * 2").after(t) == dt.datetime(2024, 2, 5, 12, 0, 30)  # a Monday
     for bad in ("* * *", "61 * * * *", "a * * * *"):
         with pytest.raises(SetwiseError):
             streams.Cron(bad)
