@@ -185,8 +185,8 @@ SPECS: dict[str, tuple] = {
     ),
     "solve_dummy": ("import std::stats::* n := //nation solve 'r g := n where n.n_regionkey = 'r d := dummy(g.n_nationkey) {k: g.n_nationkey, a: d[0], b: d[1]}", "select cast(n_nationkey as bigint) as k, cast(i = 1 as bigint) as a, cast(i = 2 as bigint) as b from (select n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) as i from nation)"),
     "solve_smoothing": (
-        "import std::math::* import std::stats::* o := //orders solve 'c g := o where o.o_custkey = 'c {k: g.o_orderkey, s: roundTo(simpleExpSmoothing({by: g.o_orderkey, smooth: g.o_totalprice / 7}, 0.3), 3), d: roundTo(doubleExpSmoothing({by: g.o_orderkey, smooth: g.o_totalprice / 7}, {alpha: 0.4, beta: 0.2}), 3)}",
-        "with recursive o as (select row_number() over w as i, lead(o_totalprice / 7) over w as nx, o_custkey as c, o_orderkey as k, o_totalprice / 7 as x from orders window w as (partition by o_custkey order by o_orderkey)), "
+        "import std::math::* import std::stats::* o := //orders solve 'c g := o where o.o_custkey = 'c {k: g.o_orderkey, s: roundTo(simpleExpSmoothing({by: g.o_orderkey, smooth: g.o_totalprice * 0.31830988618379}, 0.3), 3), d: roundTo(doubleExpSmoothing({by: g.o_orderkey, smooth: g.o_totalprice * 0.31830988618379}, {alpha: 0.4, beta: 0.2}), 3)}",
+        "with recursive o as (select row_number() over w as i, lead(o_totalprice * 0.31830988618379::double) over w as nx, o_custkey as c, o_orderkey as k, o_totalprice * 0.31830988618379::double as x from orders window w as (partition by o_custkey order by o_orderkey)), "
         "s as (select i, c, k, x as s, x as d, coalesce(nx - x, 0) as b from o where i = 1 union all select o.i, o.c, o.k, 0.3::double * o.x + 0.7::double * s.s, 0.4::double * o.x + 0.6::double * (s.d + s.b), "
         "0.2::double * (0.4::double * o.x + 0.6::double * (s.d + s.b) - s.d) + 0.8::double * s.b from s join o on o.c = s.c and o.i = s.i + 1) select k, floor(s * 1e3 + 0.5) / 1e3 as s, floor(d * 1e3 + 0.5) / 1e3 as d from s",
     ),
@@ -214,8 +214,8 @@ SPECS: dict[str, tuple] = {
     "dummy": ("import std::stats::* r := //region d := dummy(r.r_regionkey) {k: r.r_regionkey, a: d[0], b: d[1]}", "select cast(r_regionkey as bigint) as k, cast(r_regionkey = 0 as bigint) as a, cast(r_regionkey = 1 as bigint) as b from region"),
     "options_sort_page": ("o := //orders {k: o.o_orderkey, t: o.o_totalprice}", "select o_orderkey as k, o_totalprice as t from orders order by t desc, k desc limit 10 offset 5", {"sort_on": ["t", "k"], "descending": True, "limit": 10, "skip": 5}),
     "smoothing_simple": (  # beyond 200 steps back, a value weighs less than a double's last digit
-        "import std::math::* import std::stats::* o := //orders {k: o.o_orderkey, s: roundTo(simpleExpSmoothing({by: o.o_orderkey, smooth: o.o_totalprice / 7}, 0.3), 3)}",
-        "with o as (select row_number() over (order by o_orderkey) as i, o_orderkey as k, o_totalprice / 7 as x from orders) "
+        "import std::math::* import std::stats::* o := //orders {k: o.o_orderkey, s: roundTo(simpleExpSmoothing({by: o.o_orderkey, smooth: o.o_totalprice * 0.31830988618379}, 0.3), 3)}",
+        "with o as (select row_number() over (order by o_orderkey) as i, o_orderkey as k, o_totalprice * 0.31830988618379::double as x from orders) "
         "select a.k, floor(sum(case when b.i = 1 then 1 else 0.3::double end * 0.7::double ** (a.i - b.i) * b.x) * 1e3 + 0.5) / 1e3 as s from o a join o b on b.i between a.i - 200 and a.i group by a.k",
     ),
     "smoothing_double": (
