@@ -25,7 +25,7 @@ from .words import WordIds, shingle_ids, words
 
 SHINGLE = 5  # words a shingle
 SIMILAR = 0.8  # share of a cut text's shingles that its whole copy holds; Jaccard similarity of texts that end alike
-BANDS, ROWS = 32, 3  # a copy cut at 50 % of its length has Jaccard similarity 0.5 and shares a band with probability 0.986, at 40 % 0.88
+BANDS, ROWS = 24, 3  # a copy cut at 50 % of its length has Jaccard similarity 0.5 and shares a band with probability 0.96, at 60 % 0.997
 SEED = 7
 END_CHARS = 1000  # characters before the end in which closing words and open markup are looked for
 TAIL = 8  # words before the end that an alignment must agree in
@@ -232,7 +232,7 @@ def marked_limits(sizes: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def band_keys(docs: DataFrame) -> DataFrame:
-    """(band, key, n_words, doc_id) of every text of SHINGLE words or more; docs: (doc_id, text)."""
+    """(key, n_words, doc_id) of every text of SHINGLE words or more, a row a band; key holds the band's number too; docs: (doc_id, text)."""
     rng = np.random.default_rng(SEED)
     a = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     c = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -253,7 +253,7 @@ def band_keys(docs: DataFrame) -> DataFrame:
                         ns.append(len(ws))
                         ds.append(k)
                 m = len(ds)
-                key = np.zeros((m, BANDS), np.uint64)
+                key = np.tile(np.arange(BANDS, dtype=np.uint64), (m, 1))
                 if m:  # the shingles of all these texts go through each hash function at once
                     flat = np.concatenate(parts)
                     starts = np.cumsum([0, *map(len, parts[:-1])])
@@ -265,23 +265,31 @@ def band_keys(docs: DataFrame) -> DataFrame:
                         at *= np.uint64(0x9E3779B97F4A7C15)
                         at ^= at >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(BANDS, dtype=np.int32), m)), pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), BANDS)), pa.array(np.repeat(np.array(ds, np.int64), BANDS))],
-                    names=["band", "key", "n_words", "doc_id"],
+                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.array(ns, np.int32), BANDS)), pa.array(np.repeat(np.array(ds, np.int64), BANDS))],
+                    names=["key", "n_words", "doc_id"],
                 )
 
-    return docs.mapInArrow(run, "band int, key bigint, n_words int, doc_id bigint")
+    return docs.mapInArrow(run, "key bigint, n_words int, doc_id bigint")
+
+
+def shared_bands(docs: DataFrame) -> DataFrame:
+    """The band_keys that several texts have, with their number (many); the others, nearly all, go no further."""
+    bands = stage(band_keys(docs), "bands")
+    many = stage(bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "shared")
+    some = bands.join(F.broadcast(many), "key") if fits_broadcast(many) else bands.join(many, "key")
+    out = stage(some, "bands")
+    discard(bands)
+    return out
 
 
 def copy_pairs(docs: DataFrame, bands: DataFrame | None = None) -> DataFrame:
     """(doc_id, other): each text with the longest text of every band bucket it lies in - a star, never all pairs.
 
-    docs: (doc_id, text), one row per different text; bands: their band_keys, where known.
+    docs: (doc_id, text), one row per different text; bands: their shared_bands, where known.
     """
-    if bands is None:
-        bands = stage(band_keys(docs), "bands")
-    longest = bands.groupBy("band", "key").agg(F.max(F.struct("n_words", -F.col("doc_id"))).alias("m"), F.count("*").alias("n")).where("n > 1")
-    longest = longest.select("band", "key", (-F.col("m.col2")).alias("other"))
-    return bands.join(longest, ["band", "key"]).where("doc_id <> other").select("doc_id", "other").distinct()
+    bands = shared_bands(docs) if bands is None else bands
+    longest = bands.groupBy("key").agg(F.max(F.struct("n_words", -F.col("doc_id"))).alias("m")).select("key", (-F.col("m.col2")).alias("other"))
+    return skew_join(bands, longest, ["key"], "inner").where("doc_id <> other").select("doc_id", "other").distinct()
 
 
 def compare_ends(text: str, other: str) -> str | None:
@@ -334,15 +342,20 @@ def judged_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                         lst.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc_id", "other", "ends"])
 
+    # Texts outside all pairs stay where they are.
+    pairs = stage(pairs, "pairs")
+    named = stage(pairs.select("doc_id").unionByName(pairs.select(F.col("other").alias("doc_id"))).distinct(), "named")
+    docs = docs.join(F.broadcast(named) if fits_broadcast(named) else named, "doc_id", "left_semi")
     # The longest text of a large group of copies is the other side of many pairs: its text is not shuffled to one task.
     other = docs.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text"))
-    paired = skew_join(stage(pairs, "pairs"), other, ["other"], "inner", rows=0)
+    paired = skew_join(pairs, other, ["other"], "inner", rows=0)
     return paired.join(docs, "doc_id").select("doc_id", "other", "text", "other_text").mapInArrow(run, "doc_id bigint, other bigint, ends string")
 
 
-def _in_buckets(bands: DataFrame, least: int) -> DataFrame:
-    """The rows of bands in buckets of at least so many texts."""
-    return bands.join(bands.groupBy("band", "key").count().where(F.col("count") >= least), ["band", "key"], "left_semi")
+def _texts_of(docs: DataFrame, bands: DataFrame) -> DataFrame:
+    """The texts that bands names, read where they lie."""
+    named = stage(bands.select("doc_id").distinct(), "named")
+    return docs.join(F.broadcast(named) if fits_broadcast(named) else named, "doc_id", "left_semi")
 
 
 def end_words(docs: DataFrame) -> DataFrame:
@@ -424,10 +437,10 @@ def early_beside_rest(docs: DataFrame, bands: DataFrame, judged: DataFrame) -> D
     Only texts that hold the GRAM words before a text's end, and behind them what can
     run on, can witness for it: they are looked up, and compared until one does.
     """
-    crowded = stage(_in_buckets(bands, 3), "crowded")  # in a bucket of two the longest is the only other
+    crowded = stage(bands.where("many > 2").drop("many"), "crowded")  # in a bucket of two the longest is the only other
     if crowded.isEmpty():
         return docs.select("doc_id").limit(0)
-    near = docs.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = _texts_of(docs, crowded)
     tails = end_words(near).join(judged.where("ends = 'early'").select("doc_id").distinct(), "doc_id", "left_anti")
     tails = stage(tails.where(F.col("open") | F.col("last").rlike(r"\D")), "tails")
     kinds = tails.select("before", "last", "open").distinct()
@@ -436,7 +449,7 @@ def early_beside_rest(docs: DataFrame, bands: DataFrame, judged: DataFrame) -> D
     cut_word = F.col("word").startswith(F.col("last")) & (F.col("word") != F.col("last"))
     witness = word_places(near).join(kinds, "before").where(cut_word | (F.col("open") & ~F.col("final") & (F.col("word") == F.col("last"))))
     witness = stage(witness.select("other", *on).distinct(), "witnesses")
-    keys = ["band", "key", *on]
+    keys = ["key", *on]
     targets = witness.join(crowded.withColumnRenamed("doc_id", "other"), "other").select(*keys, "other", "n_words")
     seekers = tails.join(witness.select(*on).distinct(), on, "left_semi").join(crowded, "doc_id").select(*keys, "doc_id", "n_words")
     return seek(docs, seekers, targets, keys, "early")
@@ -448,9 +461,9 @@ def alike_cut(docs: DataFrame, bands: DataFrame, cut: DataFrame) -> DataFrame:
     cut: (doc_id) of texts with an open end that were found cut. Each step compares the
     texts found last with those not found that lie in their buckets and end alike.
     """
-    shared = _in_buckets(bands, 2)
-    near = docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi")
-    keys = ["band", "key", "before", "last"]
+    shared = bands.drop("many")
+    near = _texts_of(docs, shared)
+    keys = ["key", "before", "last"]
     ends = stage(end_words(near).where("open").drop("open").join(shared, "doc_id"), "alike")
     found = new = stage(cut.select("doc_id").distinct(), "cut")
     while not new.isEmpty():
@@ -499,7 +512,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
 
     one = ends.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     distinct = stage(src.select("doc_id", "text").join(one, "doc_id", "left_semi"), "texts")
-    bands = stage(band_keys(distinct), "bands")
+    bands = shared_bands(distinct)
     judged = stage(judged_pairs(distinct, copy_pairs(distinct, bands)), "judged")
     early = judged.where("ends = 'early'").select("doc_id").unionByName(early_beside_rest(distinct, bands, judged)).distinct()
 

@@ -100,7 +100,7 @@ def test_outliers_are_longest_of_a_large_group(spark):
     rows = crowd()
     docs = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, text string")
     brute = {a for a, _, t in rows for b, _, u in rows if a != b and truncation.compare_ends(t, u) == "early"}
-    bands = truncation.stage(truncation.band_keys(docs), "bands")
+    bands = truncation.shared_bands(docs)
     judged = truncation.stage(truncation.judged_pairs(docs, truncation.copy_pairs(docs, bands)), "judged")
     star = {r.doc_id for r in judged.where("ends = 'early'").collect()}
     rest = {r.doc_id for r in truncation.early_beside_rest(docs, bands, judged).collect()}
@@ -130,7 +130,7 @@ def test_a_cut_spreads_over_all_reposts(spark):
     while more := {b for a, b in pairs if a in want} - want:
         want |= more
     assert len(want) > len({0} | {b for a, b in pairs if a == 0}) and want == set(range(10))
-    bands = truncation.stage(truncation.band_keys(docs), "bands")
+    bands = truncation.shared_bands(docs)
     got = truncation.alike_cut(docs, bands, docs.select("doc_id").where("doc_id = 0"))
     assert {r.doc_id for r in got.collect()} == want
 
@@ -151,7 +151,7 @@ def test_cut_copies_are_found_whatever_is_missing(spark, share):
         if len(seen) == 120:
             break
     docs = truncation.stage(spark.createDataFrame(rows, "doc_id bigint, text string"), "docs")
-    bands = truncation.stage(truncation.band_keys(docs), "bands")
+    bands = truncation.shared_bands(docs)
     judged = truncation.stage(truncation.judged_pairs(docs, truncation.copy_pairs(docs, bands)), "judged")
     found = {r.doc_id for r in judged.where("ends = 'early'").collect()} | {r.doc_id for r in truncation.early_beside_rest(docs, bands, judged).collect()}
     cuts = {k for k, _ in rows if k % 2}
